@@ -24,6 +24,7 @@ from loanline.operators.sizes import check_cardinality
 from loanline.schemas import KEYS, NOMINAL, ORDINAL_CATEGORIES
 
 MAX_CATEGORIES = 10_000
+NULL_CATEGORY, BLANK_CATEGORY = "(null)", "(blank)"
 
 
 def ordinal_code(column: Column | str, categories: Sequence[str]) -> Column:
@@ -92,9 +93,12 @@ def fit_scaler(
 
 
 def scale(df: DataFrame, model: PipelineModel, keep: Sequence[str] = ()) -> DataFrame:
-    """Keys, feature vector and label."""
+    """Keys, feature vector and label; the vector keeps the names of its slots."""
     tail = ["label"] if "label" in df.columns else []
-    return model.transform(df).select(*keep, "features", *tail)
+    done = model.transform(df)
+    slots = [{"idx": i, "name": n} for i, n in enumerate(slot_names(done, "unscaled_features"))]
+    named = {"ml_attr": {"attrs": {"numeric": slots}, "num_attrs": len(slots)}}
+    return done.select(*keep, F.col("features").alias("features", metadata=named), *tail)
 
 
 def slot_names(df: DataFrame, vector: str = "features") -> list[str]:
@@ -109,18 +113,21 @@ def fit_training_features(
     features: Sequence[str],
     invalid: str = "error",
     max_categories: int = MAX_CATEGORIES,
-    null_category: str = "null",
 ) -> PipelineModel:
     """One-hot every string column and standardise every numeric one, split by column type.
 
-    Null is a category of its own; unseen values become zeros. The deviation here is the
+    Null and the empty text are categories of their own; unseen values become zeros. The deviation here is the
     population one, hence the factor after the scaler.
     """
     kinds = {f.name: f.dataType for f in df.select(*features).schema.fields}
     texts = [c for c in features if isinstance(kinds[c], StringType)]
     numbers = [c for c in features if c not in texts]
     check_cardinality(df, texts, max_categories)
-    filled = ", ".join(f"coalesce(`{c}`, '{null_category}') AS `{c}_text`" for c in texts)
+    filled = ", ".join(
+        f"CASE WHEN `{c}` IS NULL THEN '{NULL_CATEGORY}' WHEN `{c}` = '' THEN '{BLANK_CATEGORY}' ELSE `{c}` END "
+        f"AS `{c}_text`"
+        for c in texts
+    )
     index = StringIndexer(
         inputCols=[f"{c}_text" for c in texts], outputCols=[f"{c}_index" for c in texts], handleInvalid="keep"
     )

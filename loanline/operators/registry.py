@@ -278,9 +278,9 @@ def traffic_routes(plan: DataFrame) -> DataFrame:
     checked = shares.withColumn(
         "until", F.when(F.col("total") == 100, F.col("until")).otherwise(F.raise_error(wrong).cast("bigint"))
     )
-    slots = F.sequence(F.col("until") - F.col("traffic"), F.col("until") - 1)
+    slots = F.sequence((F.col("until") - F.col("traffic")).cast("int"), (F.col("until") - 1).cast("int"))
     routed = checked.filter(F.col("traffic") > 0)
-    return routed.select("model_name", "version", F.explode(slots).cast("int").alias("slot"))
+    return routed.select("model_name", "version", F.explode(slots).alias("slot"))
 
 
 def route_rows(df: DataFrame, plan: DataFrame, key: str) -> DataFrame:

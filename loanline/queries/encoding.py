@@ -33,9 +33,9 @@ def _slot(column: str) -> str:
 
 def spread(df: DataFrame, keep: list[str], vector: str = "features") -> DataFrame:
     """One rounded column per slot of the vector."""
-    values = vector_to_array(vector)
-    slots = [F.round(values[i], 6).alias(_slot(name)) for i, name in enumerate(slot_names(df, vector))]
-    return df.select(*keep, *slots)
+    names = slot_names(df, vector)
+    values = df.select(*keep, vector_to_array(vector).alias("slots"))
+    return values.select(*keep, *[F.round(F.get("slots", F.lit(i)), 6).alias(_slot(n)) for i, n in enumerate(names)])
 
 
 def string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,15 +176,15 @@ def _population_sql() -> str:
     scaled = ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) + CAST(0 AS DOUBLE) AS {c}" for c in NUMBERS)
     texts = [c for c in FEATURES if c not in NUMBERS]
     places = {
-        c: f"""SELECT coalesce({c}, 'null') AS v, row_number() OVER (ORDER BY count(*) DESC, coalesce({c}, 'null')) - 1 AS p
-FROM loans GROUP BY coalesce({c}, 'null')"""
+        c: f"""SELECT coalesce({c}, '(null)') AS v, row_number() OVER (ORDER BY count(*) DESC, coalesce({c}, '(null)')) - 1 AS p
+FROM loans GROUP BY coalesce({c}, '(null)')"""
         for c in ("savings_balance", "credit_history")
     }
-    width = " + ".join(f"count(DISTINCT coalesce({c}, 'null'))" for c in texts)
+    width = " + ".join(f"count(DISTINCT coalesce({c}, '(null)'))" for c in texts)
     return oracle(
         f"""SELECT id, {scaled}, s.p AS savings_balance_slot, h.p AS credit_history_slot,
  CAST((SELECT {width} FROM loans) + {len(NUMBERS)} AS INTEGER) AS width
-FROM loans l JOIN s ON coalesce(l.savings_balance, 'null') = s.v JOIN h ON coalesce(l.credit_history, 'null') = h.v, moments""",
+FROM loans l JOIN s ON coalesce(l.savings_balance, '(null)') = s.v JOIN h ON coalesce(l.credit_history, '(null)') = h.v, moments""",
         "loans",
         moments=f"SELECT {moments} FROM loans",
         s=places["savings_balance"],

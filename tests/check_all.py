@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import time
+import traceback
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -34,7 +35,10 @@ def main() -> None:
             df = query(spark, sf_dir)
             found = differences(df, con, sql[name]) if name in sql else [f"rows only: {df.count()}"]
         except Exception as error:  # report every query
-            found = [f"{type(error).__name__}: {str(error).splitlines()[0][:300]}"]
+            lines = str(error).splitlines()
+            causes = [line for line in lines if line.startswith("Caused by")]
+            found = [f"{type(error).__name__}: {' '.join([lines[0], *causes])[:600]}"]
+            traceback.print_exc()
         bad += bool(found) and name in sql
         print(f"\n{time.perf_counter() - began:6.2f}s {name}: {'; '.join(found) or 'ok'}", flush=True)
     print("different:", bad)
