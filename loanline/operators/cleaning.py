@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loanline.functions.numbers import scaled_ratio
 from loanline.functions.text import UNIT_SUFFIXES, strip_suffix
@@ -52,15 +52,20 @@ def typed_records(df: DataFrame, record: StructType = LOAN_RECORD) -> DataFrame:
 
     ``reason`` is null for a valid row. Every field is required.
     """
-    cast = {f.name: F.col(f.name).try_cast(f.dataType) for f in record.fields}
-    problems = [
-        F.when(F.col(f.name).isNull(), F.lit(f"{f.name}: missing")).when(
-            F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f"{f.name}: not {f.dataType.simpleString()}")
-        )
-        for f in record.fields
-    ]
-    found = F.concat_ws("; ", *problems)
-    return df.withColumn("reason", F.nullif(found, F.lit(""))).withColumns(cast)
+    texts = [f for f in record.fields if isinstance(f.dataType, StringType)]
+    others = [f for f in record.fields if f not in texts]
+    typed = df.withColumns({f"typed_{f.name}": F.col(f.name).try_cast(f.dataType) for f in others})
+
+    def problem(field: StructField) -> Column:
+        missing = F.lit(f"{field.name}: missing")
+        if field in texts:
+            return F.when(F.col(field.name).isNull(), missing)
+        wrong = F.lit(f"{field.name}: not {field.dataType.simpleString()}")
+        return F.when(F.col(f"typed_{field.name}").isNull(), F.when(F.col(field.name).isNull(), missing).otherwise(wrong))
+
+    found = typed.withColumn("reason", F.nullif(F.concat_ws("; ", *map(problem, record.fields)), F.lit("")))
+    replaced = found.withColumns({f.name: F.col(f"typed_{f.name}") for f in others})
+    return replaced.drop(*[f"typed_{f.name}" for f in others])
 
 
 def valid_rows(typed: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def fit_training_features(
     kinds = {f.name: f.dataType for f in df.select(*features).schema.fields}
     texts = [c for c in features if isinstance(kinds[c], StringType)]
     numbers = [c for c in features if c not in texts]
-    check_cardinality(df, texts, max_categories)
+    rows = check_cardinality(df, texts, max_categories)
     filled = ", ".join(
         f"CASE WHEN `{c}` IS NULL THEN '{NULL_CATEGORY}' WHEN `{c}` = '' THEN '{BLANK_CATEGORY}' ELSE `{c}` END "
         f"AS `{c}_text`"
@@ -133,7 +133,6 @@ def fit_training_features(
     )
     encode = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}_vec" for c in texts], dropLast=True)
     gather = VectorAssembler(inputCols=numbers, outputCol="numbers", handleInvalid=invalid)
-    rows = df.count()
     shrink = math.sqrt(rows / (rows - 1)) if rows > 1 else 1.0
     spread = StandardScaler(inputCol="numbers", outputCol="numbers_sample", withMean=True, withStd=True)
     factor = ElementwiseProduct(

@@ -114,7 +114,7 @@ def register_decisions(
     ``versions`` has model_name, version, params_json and ``compared``.
     """
     found = top_runs(runs, primary, True, limit).withColumns(
-        {"model_name": model_name, "params_json": canonical_json("params"), "compared": compared()}
+        {"model_name": model_name, "params_json": F.coalesce(canonical_json("params"), F.lit("{}")), "compared": compared()}
     )
     order = Window.partitionBy("model_name").orderBy(*metric_order(primary))
     found = with_logged_flag(found.withColumn("place", F.row_number().over(order)), log, ["run_id"])

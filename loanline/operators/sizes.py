@@ -19,9 +19,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
-def check_cardinality(df: DataFrame, columns: Sequence[str], limit: int) -> None:
-    """Fail when a column has clearly more distinct values than a driver-side index may hold."""
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    over = {c: counts[c] for c in columns if counts[c] > limit}
+def check_cardinality(df: DataFrame, columns: Sequence[str], limit: int) -> int:
+    """Fail when a column has clearly more distinct values than a driver-side index may hold.
+
+    Returns the number of rows, counted in the same pass.
+    """
+    distinct = [F.approx_count_distinct(c).alias(c) for c in columns]
+    found = df.agg(F.count(F.lit(1)).alias("rows"), *distinct).first()
+    over = {c: n for c, n in zip(columns, found[1:], strict=True) if n > limit}
     if over:
         raise ValueError(f"too many distinct values to index (limit {limit}): {over}")
+    return found["rows"]

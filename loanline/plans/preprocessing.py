@@ -40,12 +40,14 @@ class Preprocessor:
 
     @staticmethod
     def fit(raw: DataFrame, invalid: str = "error", impute: str | None = None) -> Preprocessor:
-        """Fit on projected raw rows. The cleaned rows are kept between the two fits."""
-        cleaned = run_steps(raw).persist()
+        """Fit on projected raw rows.
+
+        The cleaned rows are not kept: each pass reads only the columns it needs, and the
+        cleaning is a projection that costs less than storing a large table again.
+        """
+        cleaned = run_steps(raw)
         nominal = fit_one_hot(cleaned)
-        scaler = fit_scaler(one_hot(cleaned, nominal), invalid=invalid, impute=impute)
-        cleaned.unpersist()
-        return Preprocessor(nominal, scaler)
+        return Preprocessor(nominal, fit_scaler(one_hot(cleaned, nominal), invalid=invalid, impute=impute))
 
     def apply(self, raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         """Keys, feature vector and label; one projection, no shuffle."""

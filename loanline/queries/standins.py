@@ -131,7 +131,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_id = F.concat(F.lit("run_"), user.cast("string"), F.lit("_"), F.col("event_type"))
     return grouped.select(
         run_id.alias("run_id"),
-        F.concat(F.lit("loan_"), "model_type", F.lit("_exp_"), (user % 50).cast("string")).alias("run_name"),
+        F.concat(F.lit("loan_"), "model_type", F.lit("_exp_"), F.floor(user / 3).cast("string")).alias("run_name"),
         experiment_name(EXPERIMENT, "model_type").alias("experiment_name"),
         "model_type",
         "start_time",
@@ -251,7 +251,7 @@ SELECT user_id, event_type,
 FROM events GROUP BY user_id, event_type""",
     "runs": f"""
 SELECT 'run_' || user_id || '_' || event_type AS run_id,
- 'loan_' || model_type || '_exp_' || (user_id % 50) AS run_name,
+ 'loan_' || model_type || '_exp_' || (user_id // 3) AS run_name,
  '{EXPERIMENT}_' || CASE model_type WHEN 'random_forest' THEN 'RF' WHEN 'xgboost' THEN 'XGB'
    WHEN 'logistic_regression' THEN 'LR' WHEN 'naive_bayes' THEN 'NB' ELSE 'GBC' END AS experiment_name,
  model_type, start_time, user_id, n,

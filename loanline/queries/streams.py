@@ -82,7 +82,8 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = Preprocessor.fit(rows, impute="mean")
     features = fitted.apply(rows, ["id"])
     settings = {"lr_baseline": EXPERIMENTS["logistic_regression"]["lr_baseline"]}
-    _, models = train_settings(spark, features, features, "logistic_regression", settings, EXPERIMENT)
+    folder = work_folder(spark, "models")
+    _, models = train_settings(spark, features, features, "logistic_regression", settings, EXPERIMENT, folder)
     arriving = loans_from(stream(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
     coded = fitted.apply(project_features(arriving, keys=KEYS), ["id"])
     return _sink(predictions(next(iter(models.values())), coded, ["id", "label"]), spark)
