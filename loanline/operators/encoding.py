@@ -30,10 +30,8 @@ NULL_CATEGORY, BLANK_CATEGORY = "(null)", "(blank)"
 def ordinal_code(column: Column | str, categories: Sequence[str]) -> Column:
     """Place in the list; a value outside it, null included, gets the length of the list."""
     col = F.col(column) if isinstance(column, str) else column
-    code = F.when(col == categories[0], 0.0)
-    for place, category in enumerate(categories[1:], start=1):
-        code = code.when(col == category, float(place))
-    return code.otherwise(float(len(categories)))
+    places = F.create_map(*[F.lit(x) for i, c in enumerate(categories) for x in (c, float(i))])
+    return F.coalesce(F.try_element_at(places, col), F.lit(float(len(categories))))
 
 
 def ordinal_encode(df: DataFrame, categories: Mapping[str, Sequence[str]] = ORDINAL_CATEGORIES) -> DataFrame:
