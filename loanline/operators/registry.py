@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from loanline.functions.maps import canonical_json, metric, with_default
 from loanline.operators.incremental import with_logged_flag
-from loanline.operators.runs import first_per, metric_order, top_runs
+from loanline.operators.runs import first_per, top_runs
 from loanline.operators.sizes import broadcast_if_small
 from loanline.schemas import COMPARED_METRICS, PRIMARY_METRIC, SEARCH_LIMIT, TOLERANCE
+from loanline.sources.folders import cut_lineage
 
 # ---- fixed values: reasons written to the registration log ----
 REGISTERED = "Registered successfully"
@@ -76,14 +77,20 @@ def mark_near_duplicates(
     return with_logged_flag(runs, found, probes.columns, "duplicate")
 
 
+def _turn(primary: str) -> Column:
+    """Sorts runs best first, null metrics last, then by start and id."""
+    value = metric("metrics", primary)
+    return F.struct(value.isNull().alias("unmeasured"), (-value).alias("worse"), "start_time", "run_id")
+
+
 def accept_in_order(candidates: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Of runs with equal (model_name, params_json), those not near one accepted before them.
 
-    Order matters because nearness is not transitive. Input: ``place`` gives the order, and a
-    group holds at most the search limit of one model type, so it fits an array.
+    Order matters because nearness is not transitive. ``turn`` gives the order. For candidates
+    cut to a search limit per model: a group then fits an array, which is folded.
     """
     group = candidates.groupBy("model_name", "params_json").agg(
-        F.array_sort(F.collect_list(F.struct("place", "run_id", "compared"))).alias("runs")
+        F.array_sort(F.collect_list(F.struct("turn", "run_id", "compared"))).alias("runs")
     )
     none = F.filter("runs", lambda r: F.lit(False))
     accepted = F.aggregate(
@@ -96,6 +103,41 @@ def accept_in_order(candidates: DataFrame, tolerance: float = TOLERANCE) -> Data
     return group.select("model_name", F.explode(F.transform(accepted, lambda r: r["run_id"])).alias("run_id"))
 
 
+def accept_in_rounds(candidates: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same result for groups of any size.
+
+    Of equal metric values only the first run can be accepted, so copies are reduced first.
+    Each round accepts the runs without an earlier near one still open and drops the open runs
+    near an accepted one; both are joins on cells. The earliest open run is always accepted.
+    """
+    keys = ["model_name", "params_json", "compared"]
+    left = cut_lineage(candidates.groupBy(*keys).agg(F.min("turn").alias("turn")))
+    accepted = left.limit(0)
+    while not left.isEmpty():
+        marked = mark_near_duplicates(left, left, tolerance=tolerance, earlier="turn")
+        free = cut_lineage(marked.filter(~F.col("duplicate")).drop("duplicate"))
+        accepted = accepted.union(free)
+        blocked = marked.filter("duplicate").drop("duplicate")
+        still = mark_near_duplicates(blocked, free, tolerance=tolerance)
+        left = cut_lineage(still.filter(~F.col("duplicate")).drop("duplicate"))
+    return accepted.select("model_name", F.col("turn.run_id").alias("run_id"))
+
+
+def number_in_order(df: DataFrame, group: str, turn: str, number: str = "number") -> DataFrame:
+    """Number the rows of each group from 1 without gathering a group in one task.
+
+    Rows are range-partitioned and kept, numbered inside a range, and moved on by the row
+    counts of the ranges before it.
+    """
+    ranged = cut_lineage(df.repartitionByRange(group, turn).withColumn("slice", F.spark_partition_id()))
+    sizes = ranged.groupBy(group, "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(group, "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(group, "slice").orderBy(turn))
+    joined = ranged.withColumn(number, inside).join(broadcast_if_small(starts), [group, "slice"])
+    return joined.withColumn(number, F.col(number) + F.col("start")).drop("slice", "start")
+
+
 def register_decisions(
     runs: DataFrame,
     log: DataFrame,
@@ -104,34 +146,41 @@ def register_decisions(
     when: Column,
     primary: str = PRIMARY_METRIC,
     tolerance: float = TOLERANCE,
-    limit: int = SEARCH_LIMIT,
+    limit: int | None = SEARCH_LIMIT,
     check_duplicates: bool = True,
 ) -> DataFrame:
     """One row per run found, with its ``outcome``: logged, duplicate or registered.
 
     Runs are taken best first. A run already logged is left alone; one near a stored version,
     or near a run accepted before it, is a duplicate; the rest get the next version numbers.
-    ``versions`` has model_name, version, params_json and ``compared``.
+    ``versions`` has model_name, version, params_json and ``compared``. ``limit`` is the search
+    limit per model type; None takes all runs.
     """
-    found = top_runs(runs, primary, True, limit).withColumns(
-        {"model_name": model_name, "params_json": F.coalesce(canonical_json("params"), F.lit("{}")), "compared": compared()}
+    params = F.coalesce(canonical_json("params"), F.lit("{}"))
+    found = (runs if limit is None else top_runs(runs, primary, True, limit)).withColumns(
+        {"model_name": model_name, "params_json": params, "compared": compared(), "turn": _turn(primary)}
     )
-    order = Window.partitionBy("model_name").orderBy(*metric_order(primary))
-    found = with_logged_flag(found.withColumn("place", F.row_number().over(order)), log, ["run_id"])
+    found = with_logged_flag(found, log, ["run_id"])
     fresh = found.filter(~F.col("already_logged"))
     if check_duplicates:
         marked = mark_near_duplicates(fresh, versions, tolerance=tolerance)
-        accepted = accept_in_order(marked.filter(~F.col("duplicate")), tolerance)
+        accept = accept_in_rounds if limit is None else accept_in_order
+        accepted = accept(marked.filter(~F.col("duplicate")), tolerance)
     else:
         accepted = fresh.select("model_name", "run_id")
     outcome = with_logged_flag(found, accepted, ["model_name", "run_id"], "registered")
 
+    if limit is None:
+        turns = outcome.filter("registered").select("model_name", "turn")
+        numbered = outcome.join(number_in_order(turns, "model_name", "turn"), ["model_name", "turn"], "left")
+    else:
+        upto = Window.partitionBy("model_name").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+        numbered = outcome.withColumn("number", F.count_if("registered").over(upto))
     newest = versions.groupBy("model_name").agg(F.max("version").alias("newest"))
-    numbering = Window.partitionBy("model_name").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    number = F.coalesce("newest", F.lit(0)) + F.count_if("registered").over(numbering)
+    number = F.coalesce("newest", F.lit(0)) + F.col("number")
     value = metric("metrics", primary)
     return (
-        outcome.join(newest, "model_name", "left")
+        numbered.join(newest, "model_name", "left")
         .withColumn("version", F.when(F.col("registered"), number.cast("int")))
         .select(
             when.alias("timestamp"),

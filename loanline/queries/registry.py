@@ -48,6 +48,7 @@ def earlier_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DECISION_TOLERANCE = 0.1
+WIDE_TOLERANCE = 0.2
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,15 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir).select("model_name", "run_id", "outcome", "registered_version", "reason")
 
 
+def decisions_of_all_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a search limit, nothing logged yet and a wider tolerance."""
+    nothing = earlier_runs(spark, sf_dir).select("run_id").limit(0)
+    decided = registry.register_decisions(
+        runs(spark, sf_dir), nothing, registered(spark, sf_dir), model_of(), now(), tolerance=WIDE_TOLERANCE, limit=None
+    )
+    return decided.select("model_name", "run_id", "outcome", "registered_version")
+
+
 def registration_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = registry.registration_log_rows(_decided(spark, sf_dir))
     return rows.select(*[f for f in REGISTRATION_LOG.fieldNames() if f != "metrics_json"])
@@ -219,6 +229,12 @@ _WALK = {
  CASE WHEN logged THEN 'logged' WHEN a.run_id IS NOT NULL THEN 'registered' ELSE 'duplicate' END AS outcome
  FROM candidates c LEFT JOIN accepted a ON a.run_id = c.run_id LEFT JOIN newest n ON n.model_name = c.model_name""",
 }
+_WALK_ALL = {
+    name: sql.replace(f"CAST({DECISION_TOLERANCE} AS DOUBLE)", f"CAST({WIDE_TOLERANCE} AS DOUBLE)")
+    .replace(f"{_EARLIER} AND criterion = 'gini' AS logged", "FALSE AS logged")
+    .replace(" WHERE place <= 500", "")
+    for name, sql in _WALK.items()
+}
 _VERSION = "CASE WHEN registered THEN CAST(number AS VARCHAR) ELSE 'N/A' END AS registered_version"
 _REASON = f"CASE WHEN registered THEN '{registry.REGISTERED}' ELSE '{registry.DUPLICATE}' END AS reason"
 _READY = """SELECT v.model_name, v.version, v.run_id, v.status, r.test_recall AS metric
@@ -257,6 +273,10 @@ FROM judged j""",
         decisions,
         oracle(f"SELECT model_name, run_id, outcome, {_VERSION}, {_REASON} FROM decided", "runs", **_WALK),
     ),
+    "register_decisions_unlimited": (
+        decisions_of_all_runs,
+        oracle(f"SELECT model_name, run_id, outcome, {_VERSION} FROM decided", "runs", **_WALK_ALL),
+    ),
     "registration_log": (
         registration_log,
         oracle(

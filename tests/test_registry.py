@@ -66,6 +66,40 @@ def test_no_runs(spark):
     assert _decide(spark, _runs(spark, [])) == {}
 
 
+@pytest.mark.parametrize("limit", [500, None])
+def test_decisions_equal_one_by_one(spark, limit):
+    """Chains of near runs, copies and two parameter sets, against a plain loop."""
+    draw = random.Random(11)
+    rows = []
+    for i in range(80):
+        level = 0.5 if i % 3 == 0 else round(draw.random() / 3, 3)
+        rows.append((f"r{i:02}", {"test_recall": level, "test_f1": round(draw.randrange(3) / 50, 3)}, {"p": str(i % 2)}))
+    stored = [("m", 3, '{"p":"0"}', [0.0, 0.0, 0.1, 0.0, 0.0, 0.0])]
+    found = _decide(spark, _runs(spark, rows), versions=stored, tolerance=0.02, limit=limit)
+
+    kept, want = [(stored[0][2], 0.1, 0.0)], {}
+    for rid, m, p in sorted(rows, key=lambda r: (-r[1]["test_recall"], r[0])):
+        text, a, b = f'{{"p":"{p["p"]}"}}', m["test_recall"], m["test_f1"]
+        if any(t == text and abs(x - a) <= 0.02 and abs(y - b) <= 0.02 for t, x, y in kept):
+            want[rid] = ("duplicate", "N/A")
+        else:
+            kept.append((text, a, b))
+            want[rid] = ("registered", str(len(kept) + 2))
+    assert found == want
+    assert sum(o == "registered" for o, _ in want.values()) > 5
+
+
+def test_numbers_across_ranges(spark):
+    df = spark.range(500).selectExpr("CAST(id % 2 AS string) AS g", "id * 7 % 500 AS t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = registry.number_in_order(df, "g", "t").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for g in "01":
+        assert [r.number for r in sorted((r for r in found if r.g == g), key=lambda r: r.t)] == list(range(1, 251))
+
+
 @pytest.mark.parametrize("tolerance", [0.0, 0.001, 0.01])
 def test_near_duplicates_equal_all_pairs(spark, tolerance):
     """Values on a grid of the tolerance, so that many differences are exactly at the bound."""
