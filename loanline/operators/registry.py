@@ -332,8 +332,13 @@ def traffic_routes(plan: DataFrame) -> DataFrame:
     return routed.select("model_name", "version", F.explode(slots).alias("slot"))
 
 
+def hash_slot(key: str) -> Column:
+    """Slot 0..99 of a key, from the first 15 hex digits of its hash."""
+    digits = F.substring(F.md5(F.col(key).cast("string")), 1, 15)
+    return F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(100)).cast("int")
+
+
 def route_rows(df: DataFrame, plan: DataFrame, key: str) -> DataFrame:
     """Give each row the model version its hashed key falls to."""
     routes = broadcast_if_small(traffic_routes(plan), 100)
-    slotted = df.withColumn("slot", F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("bigint"), F.lit(100)).cast("int"))
-    return slotted.join(routes, "slot")
+    return df.withColumn("slot", hash_slot(key)).join(routes, "slot")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loanline.functions import canonical_json
 from loanline.operators import registry
 from loanline.plans.lifecycle import promote_to_production, promote_to_staging, register
-from loanline.queries.runs import PRESENT_JSON, earlier_runs
+from loanline.queries.runs import earlier_runs, json_sql
 from loanline.queries.standins import (
     BASE_MODEL,
     LOGGED_BEFORE,
@@ -73,8 +73,7 @@ def decisions_of_all_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registration_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = registry.registration_log_rows(_decided(spark, sf_dir))
-    return rows.select(*[f for f in REGISTRATION_LOG.fieldNames() if f != "metrics_json"])
+    return registry.registration_log_rows(_decided(spark, sf_dir)).select(*REGISTRATION_LOG.fieldNames())
 
 
 def registration_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,6 +203,9 @@ def _near(a: str, b: str, tolerance: float) -> str:
     return f"{a}.model_name = {b}.model_name AND {a}.params_json = {b}.params_json AND {bands}"
 
 
+_KEPT_NEAR = " AND ".join(
+    f"abs(k.v[{i + 1}] - c.v{i}) <= CAST({DECISION_TOLERANCE} AS DOUBLE)" for i in range(len(COMPARED_METRICS))
+)
 _WALK = {
     "judged": _JUDGED,
     "found": """SELECT r.*, j.* EXCLUDE (run_id, model_name, params_json, start_time),
@@ -217,7 +219,7 @@ _WALK = {
   CAST([] AS STRUCT(run_id VARCHAR, params_json VARCHAR, v DOUBLE[])[]) AS kept FROM candidates
  UNION ALL
  SELECT w.model_name, c.place, CASE WHEN c.logged OR c.known OR len(list_filter(w.kept, lambda k:
-   k.params_json = c.params_json AND {" AND ".join(f"abs(k.v[{i + 1}] - c.v{i}) <= CAST({DECISION_TOLERANCE} AS DOUBLE)" for i in range(len(COMPARED_METRICS)))})) > 0
+   k.params_json = c.params_json AND {_KEPT_NEAR})) > 0
   THEN w.kept ELSE list_append(w.kept, {{'run_id': c.run_id, 'params_json': c.params_json,
    'v': [{", ".join(f"c.v{i}" for i in range(len(COMPARED_METRICS)))}]}}) END
  FROM walk w JOIN candidates c ON c.model_name = w.model_name AND c.place = w.place + 1""",
@@ -281,7 +283,8 @@ FROM judged j""",
         registration_log,
         oracle(
             f"""SELECT TIMESTAMP '{NOW_TEXT}' AS "timestamp", run_id, run_name, model_type, model_name, experiment_name,
- 'test_recall' AS primary_metric, test_recall AS primary_metric_value, params_json, registered, {_VERSION}, {_REASON}
+ 'test_recall' AS primary_metric, test_recall AS primary_metric_value,
+ {json_sql(COMPARED_METRICS, nulls=True)} AS metrics_json, params_json, registered, {_VERSION}, {_REASON}
 FROM decided WHERE outcome <> 'logged'""",
             "runs",
             **_WALK,

@@ -10,7 +10,7 @@ from loanline.operators.incremental import not_logged, with_logged_flag
 from loanline.operators.runs import best_runs, evaluation_rows, experiment_rows, recent_ranking, top_runs
 from loanline.plans.lifecycle import log_evaluations
 from loanline.queries.standins import LOGGED_BEFORE, NOW_TEXT, model_of, moment, now, oracle, runs
-from loanline.schemas import EVALUATION_LOG, RANKED_METRICS
+from loanline.schemas import EVALUATION_LOG, RANKED_METRICS, TRACKED_METRICS
 from loanline.sources import scan, work_folder
 
 
@@ -19,7 +19,8 @@ def earlier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_runs(runs(spark, sf_dir)).select("model_type", "run_id", metric("metrics", "test_recall").alias("test_recall"))
+    value = metric("metrics", "test_recall").alias("test_recall")
+    return top_runs(runs(spark, sf_dir)).select("model_type", "run_id", value)
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,20 +81,15 @@ def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BEST = "test_recall DESC, start_time, run_id"
 _FOUND = f"""SELECT *, row_number() OVER (PARTITION BY model_type ORDER BY {_BEST}) AS place FROM runs"""
 _EARLIER = f"start_time < TIMESTAMP '{LOGGED_BEFORE}'"
-PRESENT_JSON = (
-    "'{' || concat_ws(',', "
-    + ", ".join(
-        f"'\"{m}\":' || CAST({m} AS VARCHAR)"
-        for m in sorted(
-            [
-                "inference_time", "test_accuracy", "test_f1", "test_precision", "test_recall", "test_roc_auc",
-                "train_accuracy", "train_time",
-            ]
-        )
-    )
-    + ") || '}'"
-)
-FILLED_JSON = PRESENT_JSON.replace("CAST(", "coalesce(CAST(").replace("AS VARCHAR)", "AS VARCHAR), 'null')")
+
+
+def json_sql(metrics: list[str], nulls: bool) -> str:
+    """JSON text of metric columns in key order; absent ones as null, or left out."""
+    shown = "coalesce(CAST({m} AS VARCHAR), 'null')" if nulls else "CAST({m} AS VARCHAR)"
+    parts = [f"'\"{m}\":' || " + shown.format(m=m) for m in sorted(metrics)]
+    return "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
+
+
 _FRESH = """SELECT *, row_number() OVER (PARTITION BY model_type, run_name ORDER BY test_recall DESC, start_time, run_id)
  AS nth FROM found WHERE place <= 500 AND run_name NOT IN (SELECT run_name FROM logged)"""
 _EVALUATION = dict(found=_FOUND, logged=f"SELECT run_name FROM runs WHERE {_EARLIER}", fresh=_FRESH)
@@ -137,7 +133,7 @@ QUERIES = {
         evaluation_log,
         oracle(
             f"""SELECT TIMESTAMP '{NOW_TEXT}' AS "timestamp", run_id, run_name, model_type, model_name,
- 'test_recall' AS primary_metric, test_recall AS primary_metric_value, {PRESENT_JSON} AS all_metrics_json,
+ 'test_recall' AS primary_metric, test_recall AS primary_metric_value, {json_sql(TRACKED_METRICS, nulls=False)} AS all_metrics_json,
  params_json, model_uri FROM fresh WHERE nth = 1""",
             "runs",
             **_EVALUATION,
@@ -167,7 +163,7 @@ UNION ALL SELECT run_id, run_name, model_type, test_recall FROM earlier WHERE nt
         experiment_log,
         oracle(
             f"""SELECT run_name AS model_name, model_type, run_id, experiment_name, TIMESTAMP '{NOW_TEXT}' AS created_timestamp,
- params_json AS hyperparameters, {FILLED_JSON} AS metrics FROM (
+ params_json AS hyperparameters, {json_sql(TRACKED_METRICS, nulls=True)} AS metrics FROM (
   SELECT *, row_number() OVER (PARTITION BY model_type, experiment_name, params_json ORDER BY start_time, run_id) AS nth
   FROM runs) r WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM logged l WHERE l.model_type = r.model_type
   AND l.experiment_name = r.experiment_name AND l.params_json = r.params_json)""",

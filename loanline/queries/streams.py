@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanline.operators.training import predictions, train_settings
 from loanline.plans.preprocessing import Preprocessor, run_steps
 from loanline.plans.settings import EXPERIMENTS
+from loanline.plans.training import split_raw, train_on_raw
 from loanline.queries.cleaning import CLEANED
 from loanline.queries.encoding import EARLY, scaled_sql, spread
 from loanline.queries.standins import (
@@ -17,12 +17,13 @@ from loanline.queries.standins import (
     loans,
     loans_from,
     moment,
+    now,
     oracle,
     table,
 )
 from loanline.schemas import FEATURES, KEYS
-from loanline.sources import overwrite, project_features, scan, work_folder
-from loanline.streaming import ingest_stream, new_against_fixed
+from loanline.sources import project_features, scan, work_folder
+from loanline.streaming import ingest_stream, new_against_fixed, score_stream
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,16 +78,18 @@ def stream_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fitted classifier applied to loans as they arrive."""
-    rows = project_features(loans(spark, sf_dir), keys=KEYS)
-    fitted = Preprocessor.fit(rows, impute="mean")
-    features = fitted.apply(rows, ["id"])
+    """A model trained on the stored loans scores loans as they arrive."""
     settings = {"lr_baseline": EXPERIMENTS["logistic_regression"]["lr_baseline"]}
-    folder = work_folder(spark, "models")
-    _, models = train_settings(spark, features, features, "logistic_regression", settings, EXPERIMENT, folder)
+    split = split_raw(loans(spark, sf_dir), "id")
+    _, models = train_on_raw(spark, split, "logistic_regression", settings, EXPERIMENT, work_folder(spark, "models"))
     arriving = loans_from(stream(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
-    coded = fitted.apply(project_features(arriving, keys=KEYS), ["id"])
-    return _sink(predictions(next(iter(models.values())), coded, ["id", "label"]), spark)
+    target = work_folder(spark, "scored")
+    query = score_stream(
+        arriving, next(iter(models.values())), FEATURES, target, work_folder(spark, "checkpoint"),
+        F.lit("logistic_regression"), F.lit("loan-scorer-logistic_regression-prod"), now(),
+    )
+    query.awaitTermination()
+    return scan(spark, target)
 
 
 QUERIES = {

@@ -45,10 +45,12 @@ def differences(df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
     spark_types = {n: DUCK_TYPES.get(t, t) for n, t in df.dtypes}
     found = []
     if spark_types != types:
-        found.append(f"types: spark {sorted(set(spark_types.items()) - set(types.items()))} sql {sorted(set(types.items()) - set(spark_types.items()))}")
+        spark_only, sql_only = spark_types.items() - types.items(), types.items() - spark_types.items()
+        found.append(f"types: spark {sorted(spark_only)} sql {sorted(sql_only)}")
     got, want = _rows(df.collect(), df.columns), _rows(expected, list(types))
     if got != want:
-        found.append(f"rows: {sum(got.values())} and {sum(want.values())}; only spark {list((got - want).items())[:2]}; only sql {list((want - got).items())[:2]}")
+        extra, lacking = list((got - want).items())[:2], list((want - got).items())[:2]
+        found.append(f"rows: {sum(got.values())} and {sum(want.values())}; only spark {extra}; only sql {lacking}")
     if not want:
         found.append("no rows")
     return found
