@@ -21,7 +21,7 @@ BASE_MODEL = "main.loans.scorer_"
 EXPERIMENT = "loan_experiments"
 NOW_TEXT = "2024-02-01 00:00:00"
 # Runs that began before this were evaluated, logged and registered by earlier jobs.
-LOGGED_BEFORE = "2024-01-03 00:00:00"
+LOGGED_BEFORE = "2024-01-02 00:00:00"
 # Loans that began before this are in the feature table already.
 LOADED_BEFORE = "1998-01-01 00:00:00"
 
