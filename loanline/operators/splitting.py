@@ -25,9 +25,10 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``: per label, the first round(fraction * n) rows in hash order, part by part.
 
-    Rows left over are "train". ``key`` must be unique. Hashes are spread evenly over
-    16**digits prefixes, so the cut of a part lies in one small prefix: a count per prefix
-    finds it, only that prefix is ranked, and every row is then compared with the cut.
+    Rows left over are "train". Rows with the same key stay together, so the sizes are exact
+    when keys are unique. Hashes are spread evenly over 16**digits prefixes, so the cut of a
+    part lies in one small prefix: a count per prefix finds it, only the hashes of that prefix
+    are put in order, and every row is then compared with the cut.
     """
     parts = dict(fractions or {"test": 0.2})
     drawn = df.select(F.col(label).alias("stratum"), split_hash(key, seed).alias("place"))
@@ -47,12 +48,13 @@ def stratified_split(
     cuts = cuts.select("stratum", "prefix", "cut.part", (F.col("cut.row") - F.col("last") + F.col("n")).alias("nth"))
 
     cuts = broadcast_if_small(cuts)
-    ranked = drawn.withColumn("prefix", F.substring("place", 1, digits)).join(
-        cuts.select("stratum", "prefix").distinct(), ["stratum", "prefix"], "left_semi"
-    )
+    wanted = cuts.select("stratum", "prefix").distinct()
+    near = drawn.withColumn("prefix", prefix).join(wanted, ["stratum", "prefix"], "left_semi")
+    places = near.groupBy("stratum", "prefix", "place").agg(F.count(F.lit(1)).alias("rows"))
     within = Window.partitionBy("stratum", "prefix").orderBy("place")
-    ranked = ranked.withColumn("nth", F.row_number().over(within))
-    limits = ranked.join(cuts, ["stratum", "prefix", "nth"])
+    places = places.withColumn("upto", F.sum("rows").over(within))
+    hit = (F.col("upto") >= F.col("nth")) & (F.col("upto") - F.col("rows") < F.col("nth"))
+    limits = places.join(cuts, ["stratum", "prefix"]).filter(hit)
     limits = limits.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("part", "place"))).alias("cuts"))
 
     split = F.lit("train")

@@ -96,3 +96,11 @@ def test_split_is_exact_and_stable(spark, digits):
     assert split.exceptAll(again).count() == 0
     other = stratified_split(df, "y", "id", {"test": 0.2, "validation": 0.1}, seed=7)
     assert split.exceptAll(other).count() > 0
+
+
+def test_rows_of_a_hot_key_stay_together(spark):
+    df = spark.range(3000).selectExpr("IF(id % 3 = 0, -1, id) AS id", "1 AS y")
+    found = stratified_split(df, "y", "id")
+    assert found.count() == 3000
+    assert found.filter("id = -1").select("split").distinct().count() == 1
+    assert found.select("split").distinct().count() == 2
