@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from loanline.operators.incremental import new_records
 from loanline.operators.runs import best_runs
 from loanline.operators.splitting import stratified_split
@@ -50,3 +52,32 @@ def test_anti_join_has_equality_keys(spark):
     for null_safe in (True, False):
         plan = _plan(new_records(df, df, null_safe=null_safe))
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "LeftAnti" in plan
+
+
+def test_hot_key_of_the_anti_join_is_split(spark):
+    """A third of the rows share one key: its partition is read by several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = spark.range(60000).selectExpr(
+            "IF(id % 3 = 0, 0, id) AS id", "id AS start", "CAST(NULL AS bigint) AS end", "uuid() AS payload"
+        )
+        raw = rows.withColumn("start", F.when(F.col("id") > 0, F.col("start")).otherwise(0)).repartition(12)
+        known = raw.filter("id > 30000").select("id", "start", "end")
+        for null_safe, expected in ((True, 40000), (False, 60000)):
+            found = new_records(raw, known, ["id", "start", "end"], null_safe)
+            assert len(found.collect()) == expected
+            if null_safe:
+                assert "skew=true" in _plan(found)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
