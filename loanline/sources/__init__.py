@@ -1,4 +1,4 @@
-from loanline.sources.folders import cut_lineage, work_folder
+from loanline.sources.folders import cut_lineage, stored, work_folder
 from loanline.sources.models import load_model, read_signature, save_model
 from loanline.sources.tables import (
     append,
@@ -26,5 +26,6 @@ __all__ = [
     "require_columns",
     "save_model",
     "scan",
+    "stored",
     "work_folder",
 ]
