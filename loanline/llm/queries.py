@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanline.llm import decontamination, simhash
+from loanline.llm import decontamination, lines, simhash
 from loanline.llm.text import table
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -18,6 +22,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_line_dedup": op7_line_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
@@ -43,6 +48,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
+# Chunks are compared by their lines themselves here; a document is one row.
+LINE_DEDUP = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+every AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM split),
+line AS (SELECT *, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS w FROM every),
+placed AS (SELECT doc_id, l, i, w, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM line WHERE w > 0),
+run AS (
+    SELECT doc_id, list(l) OVER f AS k, min(i) OVER f AS low, max(i) OVER f AS high, sum(w) OVER f AS w FROM placed
+    WINDOW f AS (PARTITION BY doc_id ORDER BY upto - w RANGE BETWEEN CURRENT ROW AND 50 FOLLOWING)
+    UNION
+    SELECT doc_id, list(l) OVER b AS k, min(i) OVER b AS low, max(i) OVER b AS high, sum(w) OVER b AS w FROM placed
+    WINDOW b AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 50 PRECEDING AND CURRENT ROW)),
+chunk AS (SELECT doc_id, k, low, high FROM run WHERE w > 50),
+owner AS (SELECT k, min(doc_id) AS least FROM chunk GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(low, high + 1)) AS i FROM chunk JOIN owner USING (k) WHERE doc_id <> least),
+rest AS (SELECT e.doc_id, count(*) - count(g.i) AS n, count(g.i) AS n_removed, count(*) AS n_lines,
+    string_agg(CASE WHEN g.i IS NULL THEN l END, chr(10) ORDER BY e.i) AS text
+    FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT doc_id, n_lines, n_removed, CASE WHEN n = 0 THEN '' ELSE text END AS text FROM rest
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL"""
+
 ORACLE = {
+    "op7_line_dedup": LINE_DEDUP,
     "op9_decontamination": DECONTAMINATION,
 }
