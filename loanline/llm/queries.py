@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanline.llm import decontamination, lines, simhash
+from loanline.llm import decontamination, lines, mixing, simhash, toxicity
 from loanline.llm.text import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_summary(table(spark, sf_dir, "documents")).drop("shards")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -22,7 +30,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
@@ -69,7 +79,30 @@ rest AS (SELECT e.doc_id, count(*) - count(g.i) AS n, count(g.i) AS n_removed, c
 SELECT doc_id, n_lines, n_removed, CASE WHEN n = 0 THEN '' ELSE text END AS text FROM rest
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL"""
 
+# What a source's mix takes is a first part of its rows in the order of their keys, after whole passes.
+MIXING = r"""
+WITH doc AS (SELECT doc_id, source, len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])) AS size,
+    concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', md5(coalesce(text, ''))) AS name FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM doc GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS weight FROM sums),
+filled AS (SELECT *, 2.0::DOUBLE * source_size AS top,
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER before, 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level FROM weighed
+    WINDOW before AS (ORDER BY 2.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+first_over AS (SELECT min_by(level, top / weight) AS level FROM filled WHERE top / weight > level),
+wanted AS (SELECT source, source_size, CASE WHEN f.level IS NULL OR top / weight <= f.level THEN top ELSE f.level * weight END AS target
+    FROM filled, first_over f),
+planned AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS whole FROM wanted),
+passed AS (SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS passes,
+    CASE WHEN source_size > 0 THEN whole % source_size ELSE 0 END AS rest FROM planned),
+keyed AS (SELECT doc_id, size, source_size, target, passes, rest, md5(concat('mix:', passes, ':', name)) AS key, p.source
+    FROM doc JOIN passed p ON doc.source IS NOT DISTINCT FROM p.source),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key ROWS UNBOUNDED PRECEDING) - size AS ahead FROM keyed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+    CAST(passes * size + greatest(0, least(size, rest - ahead)) AS BIGINT) AS taken FROM placed"""
+
 ORACLE = {
+    "op1_mixing": MIXING,
     "op7_line_dedup": LINE_DEDUP,
     "op9_decontamination": DECONTAMINATION,
 }
