@@ -146,8 +146,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
 
 
-def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated chunks removed from ``text``, without the rows that this leaves with no word."""
+def drop_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, count: str | None = None
+) -> DataFrame:
+    """``docs`` with repeated chunks removed from ``text``, without the rows that this leaves with no word.
+
+    ``count`` names a column with the length of the text, which follows it where lines were removed.
+    """
     out = without_repeats(docs, doc_id, text, min_words)
+    if count:
+        own = F.col(f"`{count}`")
+        out = out.withColumn(count, F.when(F.col("__removed") > 0, F.length(f"`{text}`").cast(docs.schema[count].dataType)).otherwise(own))
     left = (F.col("__removed") == 0) | F.col(f"`{text}`").rlike(f"[^{BLANK}]")
     return out.filter(left).select(*[f"`{c}`" for c in docs.columns])

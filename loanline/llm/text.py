@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Names a row for joins back to it: equal only for rows with the same id (null too) and the same text."""
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
-    return F.concat_ws(":", name, F.hex(F.xxhash64(text)), F.coalesce(F.octet_length(text), F.lit(-1)))
+    body = F.col(text)
+    return F.concat_ws(":", name, F.hex(F.xxhash64(body)), F.coalesce(F.octet_length(body), F.lit(-1)))
 
 
 def fold_of(doc_id: str = "doc_id", folds: int = 5) -> Column:
