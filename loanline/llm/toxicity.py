@@ -7,10 +7,8 @@ bounded sample. Scoring cuts every whole text into runs of words and sends them
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +20,7 @@ from pyspark.sql import functions as F
 from loanline.llm.text import fold_of, steps
 
 #: Labelled rows of each class that are fitted on, and the length in characters up to which a text can be one of them.
-SAMPLE = 3000
+SAMPLE = 2000
 SAMPLE_CHARS = 20_000
 #: Words of a chain; runs of the sample that are fitted on.
 RUN = 64
@@ -144,38 +142,54 @@ def _fit_score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def toxic_words(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Lower-cased words that toxic texts have oftener than clean ones, with a likelihood ratio of EVIDENCE or more."""
-    inside, outside = Counter(), Counter()
-    for words, label in zip(texts, toxic, strict=True):
-        (inside if label else outside).update({w.lower() for w in words})
-    n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    found = set()
+def _novel(texts: list[np.ndarray], toxic: np.ndarray) -> list[int]:
+    """Texts of which at most half of the word triples were in earlier texts of the class: copies tell nothing new."""
+    seen: tuple[set, set] = (set(), set())
+    out = []
+    for i, (ids, label) in enumerate(zip(texts, toxic, strict=True)):
+        x = ids.astype(np.uint64)
+        triples = x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] if len(x) > 2 else x
+        triples = triples ^ (triples >> np.uint64(29))
+        if len(triples) > 64:
+            triples = triples[triples % np.uint64(8) == 0]  # an eighth of them will do
+        known = seen[int(label)]
+        own = set(triples.tolist())
+        if 2 * len(own & known) <= len(own):
+            out.append(i)
+        known |= own
+    return out
 
-    def part(count: float, expected: float) -> float:
-        return count * math.log(count / expected) if count else 0.0
 
-    for word, c1 in inside.items():
-        c0 = outside[word]
-        if c1 * n0 > 4 * c0 * n1:
-            rate = (c1 + c0) / (n1 + n0)
-            ratio = part(c1, n1 * rate) + part(c0, n0 * rate) + part(n1 - c1, n1 * (1 - rate)) + part(n0 - c0, n0 * (1 - rate))
-            if 2 * ratio >= EVIDENCE:
-                found.add(word)
-    return found
+def _toxic_words(texts: list[np.ndarray], toxic: np.ndarray, words: int) -> np.ndarray:
+    """Marks words that toxic texts have oftener than clean ones, with a likelihood ratio of EVIDENCE or more."""
+    counts = np.zeros((2, words))
+    for ids, label in zip(texts, toxic, strict=True):
+        counts[int(label), np.unique(ids)] += 1
+    n0, n1 = float(np.sum(toxic == 0)), float(np.sum(toxic == 1))
+    rate = counts.sum(0) / max(n0 + n1, 1)
+
+    def part(count: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, count * np.log(np.maximum(count, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+
+    ratio = part(counts[1], n1 * rate) + part(counts[0], n0 * rate) + part(n1 - counts[1], n1 * (1 - rate)) + part(n0 - counts[0], n0 * (1 - rate))
+    return (counts[1] * n0 > 4 * counts[0] * n1) & (2 * ratio >= EVIDENCE)
 
 
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 80) -> Model | None:
-    """Label words, train the field by Adam on the likelihood of the labelled runs, then fit the document score."""
+    """Label words, train the field by Adam on the likelihood of the labelled runs, then fit the document score.
+
+    Copies of earlier texts are left out, so that the words of a text with many copies are no evidence.
+    """
     if not len(texts):
         return None
-    words = [WORD.findall(t or "") for t in texts]
-    seeds = toxic_words(words, toxic)
     vocabulary = _Vocabulary()
-    numbers = np.array([vocabulary[w] for ws in words for w in ws], np.int64)
+    numbered = [np.array([vocabulary[w.lower()] for w in WORD.findall(t or "")], np.int64) for t in texts]
+    chosen = _novel(numbered, toxic)
+    numbered, toxic = [numbered[i] for i in chosen], toxic[chosen]
+    is_seed = _toxic_words(numbered, toxic, len(vocabulary))
+    lengths = np.array([len(x) for x in numbered], np.int64)
+    numbers = np.concatenate(numbered)
     features = vocabulary.known()
-    is_seed = np.array([w.lower() in seeds for w in vocabulary], np.bool_) if len(vocabulary) else np.zeros(0, np.bool_)
-    lengths = np.array([len(ws) for ws in words], np.int64)
     starts, sizes, owner = _runs(lengths)
     model = Model(np.zeros(1 << FEATURE_BITS), np.zeros((2, 2)), np.zeros(3))
     if len(numbers):
@@ -204,7 +218,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 80) -> Model | None:
         marginals, _ = _chains(_padded(model.weights[features].sum(1)[numbers], starts, sizes), sizes, model.moves)
     else:
         marginals = np.zeros((0, RUN))
-    model.score = _fit_score(_summary(marginals, owner, len(texts)), toxic.astype(float))
+    model.score = _fit_score(_summary(marginals, owner, len(numbered)), toxic.astype(float))
     return model
 
 
