@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loanline.llm import decontamination, lines, mixing, simhash, toxicity
+from loanline.llm import chat, credentials, decontamination, language, lines, mixing, quality, simhash, tokens, toxicity
 from loanline.llm.text import table
 
 
@@ -12,6 +14,38 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_summary(table(spark, sf_dir, "documents")).drop("shards")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_rules(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = F.lit(f"{chat.CLOSE}{chat.OPEN}assistant ok")
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        both.alias("text"),
+    )
+    read = chat.read_back(chat.format_chats(turns.unionByName(added)))
+    return read.withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -31,6 +65,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
+    "op3_language": op3_language,
+    "op4_secrets": op4_secrets,
+    "op5_tokens": op5_tokens,
+    "op6_chat": op6_chat,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
@@ -58,6 +97,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
+_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+QUALITY_BASE = rf"""
+doc AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+spread AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM doc)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM spread) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(8)) AS k FROM again) GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM doc),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup,
+    count(*) FILTER (regexp_matches(l, '^[\x20\x09-\x0D]*[-*•|]')) AS n_list,
+    count(*) FILTER (regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS n_cut
+    FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counted AS (SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_list, 0) AS n_list, coalesce(n_cut, 0) AS n_cut,
+    length(regexp_replace(text, '[^!?]+', '', 'g')) AS n_marks, length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS n_letters,
+    length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_upper,
+    len(list_filter(w, x -> lower(x) IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality.STOP_WORDS))}))) AS n_stop
+    FROM doc LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id))"""
+QUALITY = f"""
+WITH {QUALITY_BASE}, judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND coalesce(word_chars / n_words BETWEEN 2 AND 20 AND n_symbols / n_words <= 0.1 AND n_marks / n_words <= 0.5
+        AND n_letters / word_chars >= 0.6 AND n_upper / greatest(n_letters, 1) <= 0.6 AND n_stop / n_words >= 0.01
+        AND n_dup_lines / n_lines <= 0.3 AND n_list / n_lines <= 0.9 AND n_cut / n_lines <= 0.3, false) AS kept
+FROM judged"""
+
 # Chunks are compared by their lines themselves here; a document is one row.
 LINE_DEDUP = r"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
@@ -103,6 +169,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 
 ORACLE = {
     "op1_mixing": MIXING,
+    "op2_quality": QUALITY,
     "op7_line_dedup": LINE_DEDUP,
     "op9_decontamination": DECONTAMINATION,
 }
