@@ -114,7 +114,7 @@ counted AS (SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(ar
     coalesce(n_lines, 0) AS n_lines, coalesce(n_list, 0) AS n_list, coalesce(n_cut, 0) AS n_cut,
     length(regexp_replace(text, '[^!?]+', '', 'g')) AS n_marks, length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS n_letters,
     length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_upper,
-    len(list_filter(w, x -> lower(x) IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality.STOP_WORDS))}))) AS n_stop
+    len([x for x in w if lower(x) IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality.STOP_WORDS))})]) AS n_stop
     FROM doc LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id))"""
 QUALITY = f"""
 WITH {QUALITY_BASE}, judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
