@@ -1,8 +1,9 @@
 """Token counts without token ids: pieces are counted once per distinct pre-token of the corpus.
 
 Documents are read in blocks. A block has its distinct pre-tokens and, for each document, how often it has which. The
-distinct pre-tokens of all blocks are tokenized once each, their counts are joined back to the blocks, and each
-document's count is the sum of its frequencies times them.
+pre-tokens of all blocks meet in one shuffle, where each distinct one is tokenized once; the counts are joined back to
+the blocks, and each document's count is the sum of its frequencies times them. Pre-tokens that are one piece by
+themselves, at most as many as the vocabulary has, need not be sent.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ class PreTokens:
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.whole: dict[str, bool] = {}
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def _of(self, text: str) -> list[str]:
@@ -62,6 +65,15 @@ class PreTokens:
             found.update(self._of(part))
         return found, len(parts) - 1
 
+    def is_one_piece(self, pretoken: str) -> bool:
+        """Whether a plain pre-token is an entry of the vocabulary that the model leaves whole."""
+        if pretoken + "</w>" not in self.vocabulary or not pretoken.isascii():
+            return False
+        found = self.whole.get(pretoken)
+        if found is None:
+            found = self.whole[pretoken] = self.pieces(pretoken) == 1
+        return found
+
     def pieces(self, pretoken: str) -> int:
         """How many tokens a pre-token becomes."""
         model, encoded = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str(pretoken)
@@ -74,7 +86,7 @@ _BLOCK = pa.schema(
         ("block", pa.int64()),
         ("doc_ids", pa.list_(pa.string())),
         ("n_bytes", pa.list_(pa.int64())),
-        ("special", _INTS),
+        ("counted", pa.list_(pa.int64())),
         ("ends", pa.list_(pa.int64())),
         ("places", _INTS),
         ("times", _INTS),
@@ -82,7 +94,7 @@ _BLOCK = pa.schema(
     ]
 )
 _BLOCK_SQL = (
-    "block long, doc_ids array<string>, n_bytes array<long>, special array<int>, ends array<long>, places array<int>, "
+    "block long, doc_ids array<string>, n_bytes array<long>, counted array<long>, ends array<long>, places array<int>, "
     "times array<int>, pretokens array<string>"
 )
 
@@ -96,16 +108,17 @@ def _blocks(path: str):
         for number, batch in enumerate(steps(batches, limit=BLOCK_BYTES)):
             texts = batch.column(1)
             places: dict[str, int] = {}
-            special, ends, at, times, end = [], [], [], [], 0
+            counted, ends, at, times, end = [], [], [], [], 0
             for text in texts:
-                found, extra = pretokens(text.as_py() or "")
-                special.append(extra)
+                found, special = pretokens(text.as_py() or "")
+                whole = [w for w in found if pretokens.is_one_piece(w)]
+                counted.append(special + sum(map(found.pop, whole)))
                 end += len(found)
                 ends.append(end)
                 at.append(np.fromiter((places.setdefault(w, len(places)) for w in found), np.int32, len(found)))
                 times.append(np.fromiter(found.values(), np.int32, len(found)))
             sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            row = [first + number, batch.column(0).to_pylist(), sizes.to_pylist(), special, ends]
+            row = [first + number, batch.column(0).to_pylist(), sizes.to_pylist(), counted, ends]
             columns = [pa.array([x], kind) for x, kind in zip(row, _BLOCK.types, strict=False)]
             columns += [pa.ListArray.from_arrays(pa.array([0, end], pa.int32()), pa.array(np.concatenate(x))) for x in (at, times)]
             columns.append(pa.array([list(places)], _BLOCK.types[-1]))
@@ -115,11 +128,18 @@ def _blocks(path: str):
 
 
 def _counted(path: str):
+    """Pieces of sorted pre-tokens: equal ones follow one another and are tokenized once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pretokens = PreTokens(path)
+        last, count = None, 0
         for batch in batches:
-            counts = [pretokens.pieces(p) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], names=["pretoken", "pieces"])
+            counts = []
+            for pretoken in batch.column(2).to_pylist():
+                if pretoken != last:
+                    last, count = pretoken, pretokens.pieces(pretoken)
+                counts.append(count)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32())], names=["block", "place", "pieces"])
 
     return run
 
@@ -128,7 +148,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum frequency times pieces for each document of a block."""
     for batch in batches:
         for i in range(batch.num_rows):
-            ids, sizes, special, ends, places, times, pieces = (batch.column(n)[i].values for n in range(7))
+            ids, sizes, counted, ends, places, times, pieces = (batch.column(n)[i].values for n in range(7))
             ends = ends.to_numpy()
             sums = np.zeros(len(places) + 1, np.int64)
             by_place = np.zeros(len(pieces), np.int64)
@@ -136,7 +156,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 by_place = pieces.field("pieces").to_numpy().astype(np.int64)
             np.cumsum(by_place[places.to_numpy()] * times.to_numpy(), out=sums[1:])
             begins = np.concatenate([[0], ends[:-1]])
-            n = sums[ends] - sums[begins] + special.to_numpy()
+            n = sums[ends] - sums[begins] + counted.to_numpy()
             yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
 
@@ -150,13 +170,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     blocks = stored(rows.mapInArrow(_blocks(path), _BLOCK_SQL), "token-blocks")
     found = blocks.select("block", F.posexplode("pretokens").alias("place", "pretoken"))
-    pieces = stored(found.select("pretoken").distinct().mapInArrow(_counted(path), "pretoken string, pieces int"), "token-pieces")
-    by_block = (
-        found.join(pieces, "pretoken").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "pieces"))).alias("pieces"))
-    )
+    met = found.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(_counted(path), "block long, place int, pieces int")
+    by_block = met.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "pieces"))).alias("pieces"))
     empty = F.array().cast("array<struct<place: int, pieces: int>>")
     joined = blocks.drop("pretokens").join(by_block, "block", "left").withColumn("pieces", F.coalesce("pieces", empty))
-    counted = joined.select("doc_ids", "n_bytes", "special", "ends", "places", "times", "pieces").mapInArrow(
+    counted = joined.select("doc_ids", "n_bytes", "counted", "ends", "places", "times", "pieces").mapInArrow(
         _summed, "doc_id string, n_bytes long, n_tokens long"
     )
     return counted.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
