@@ -25,7 +25,7 @@ from loanline.llm.text import steps
 from loanline.sources.folders import stored
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 32 << 20
 LIMIT = 2048
 
 # Characters of which we know that composing them changes nothing, and which of them are letters, digits and blanks.
@@ -88,7 +88,7 @@ _BLOCK = pa.schema(
         ("n_bytes", pa.list_(pa.int64())),
         ("counted", pa.list_(pa.int64())),
         ("ends", pa.list_(pa.int64())),
-        ("places", _INTS),
+        ("places", _INTS),  # of each document in order, as differences
         ("times", _INTS),
         ("pretokens", pa.list_(pa.string())),
     ]
@@ -115,8 +115,10 @@ def _blocks(path: str):
                 counted.append(special + sum(map(found.pop, whole)))
                 end += len(found)
                 ends.append(end)
-                at.append(np.fromiter((places.setdefault(w, len(places)) for w in found), np.int32, len(found)))
-                times.append(np.fromiter(found.values(), np.int32, len(found)))
+                own = np.fromiter((places.setdefault(w, len(places)) for w in found), np.int32, len(found))
+                order = np.argsort(own)
+                at.append(np.diff(own[order], prepend=np.int32(0)))  # small numbers, which compress well
+                times.append(np.fromiter(found.values(), np.int32, len(found))[order])
             sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             row = [first + number, batch.column(0).to_pylist(), sizes.to_pylist(), counted, ends]
             columns = [pa.array([x], kind) for x, kind in zip(row, _BLOCK.types, strict=False)]
@@ -154,8 +156,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_place = np.zeros(len(pieces), np.int64)
             if len(pieces):
                 by_place = pieces.field("pieces").to_numpy().astype(np.int64)
-            np.cumsum(by_place[places.to_numpy()] * times.to_numpy(), out=sums[1:])
             begins = np.concatenate([[0], ends[:-1]])
+            upto = np.concatenate([[0], np.cumsum(places.to_numpy().astype(np.int64))])
+            at = upto[1:] - np.repeat(upto[begins], ends - begins)
+            np.cumsum(by_place[at] * times.to_numpy(), out=sums[1:])
             n = sums[ends] - sums[begins] + counted.to_numpy()
             yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
