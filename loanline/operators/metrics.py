@@ -70,7 +70,7 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> Da
     counts = scored.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
         F.count_if(one).alias("pos"), F.count_if(~one).alias("neg")
     )
-    sliced = counts.repartitionByRange("score").withColumn("slice", F.spark_partition_id())
+    sliced = counts.repartitionByRange(*keys, "score").withColumn("slice", F.spark_partition_id())
 
     inside = Window.partitionBy(*keys, "slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0))

@@ -8,17 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanline.functions.maps import canonical_json, metric, with_default
+from loanline.operators.components import connected_components
 from loanline.operators.incremental import with_logged_flag
 from loanline.operators.runs import first_per, top_runs
 from loanline.operators.sizes import broadcast_if_small
-from loanline.schemas import COMPARED_METRICS, PRIMARY_METRIC, SEARCH_LIMIT, TOLERANCE
-from loanline.sources.folders import cut_lineage
+from loanline.schemas import COMPARED_METRICS, PRIMARY_METRIC, TOLERANCE
+from loanline.sources.folders import cut_lineage, stored
 
 # ---- fixed values: reasons written to the registration log ----
 REGISTERED = "Registered successfully"
 DUPLICATE = "Duplicate metrics+params → skipped"
 
-CELL_METRICS = 3
+# Cells take all compared metrics; at this many tolerances a run reaches one or two cells of a metric.
+CELL_METRICS = len(COMPARED_METRICS)
+CELL_WIDTH = 8.4
 
 
 def compared(metrics: Sequence[str] = COMPARED_METRICS) -> Column:
@@ -40,13 +43,13 @@ def mark_near_duplicates(
     """Add ``duplicate``: some version has equal keys and every compared metric within tolerance.
 
     Both sides carry ``compared`` (array of doubles). Versions are first reduced to distinct
-    metric values. Cells a little wider than twice the tolerance turn the band condition into
+    metric values. Cells of several tolerances' width turn the band condition into
     an equi-join: a run looks into the one or two cells per metric its band touches, and a
     version is found in one of them only. With ``earlier`` a version counts only when its
     value of that column is smaller.
     """
     keys = list(keys)
-    width, reach = 2.1 * tolerance or 1.0, 1.01 * tolerance
+    width, reach = CELL_WIDTH * tolerance or 1.0, 1.01 * tolerance
     known = versions.groupBy(*keys, "compared").agg(
         *([F.min(earlier).alias("since")] if earlier else [F.count(F.lit(1)).alias("since")])
     )
@@ -86,11 +89,28 @@ def _turn(primary: str) -> Column:
 def accept_in_order(candidates: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Of runs with equal (model_name, params_json), those not near one accepted before them.
 
-    Order matters because nearness is not transitive. ``turn`` gives the order. For candidates
-    cut to a search limit per model: a group then fits an array, which is folded.
+    Order matters because nearness is not transitive; ``turn`` gives it. Of equal metric values only the first run can
+    be accepted, so copies are reduced first. Occupied cells that a run of another one may reach are linked, and their
+    connected components, whose number of rounds grows with the logarithm of a chain, divide a group: runs of different
+    components are never near. Each component is then decided by one fold in order.
     """
-    group = candidates.groupBy("model_name", "params_json").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "run_id", "compared"))).alias("runs")
+    keys = ["model_name", "params_json"]
+    firsts = candidates.groupBy(*keys, "compared").agg(F.min("turn").alias("turn"))
+    width, reach = CELL_WIDTH * tolerance or 1.0, 1.01 * tolerance
+    cells = [f"cell_{i}" for i in range(CELL_METRICS)]
+    values = [F.coalesce(F.get("compared", F.lit(i)), F.lit(0.0)) for i in range(CELL_METRICS)]
+    node = F.xxhash64(*keys, *cells)  # equal hashes of different cells join components, which changes no result
+    firsts = stored(firsts.withColumns({c: F.floor(v / width) for c, v in zip(cells, values, strict=True)}).withColumn("node", node), "firsts")
+    looking = firsts.select(*keys, "compared", "node")
+    for c, v in zip(cells, values, strict=True):
+        looking = looking.withColumn(c, F.explode(F.array_distinct(F.array(F.floor((v - reach) / width), F.floor((v + reach) / width)))))
+    occupied = firsts.select(F.col("node").alias("reached")).distinct()
+    links = looking.select("node", node.alias("reached")).distinct().join(occupied, "reached", "left_semi").select("node", "reached")
+    parts = connected_components(links)
+    group = (
+        firsts.join(parts, "node", "left")
+        .groupBy(*keys, F.coalesce("component", "node").alias("component"))
+        .agg(F.array_sort(F.collect_list(F.struct("turn", "compared"))).alias("runs"))
     )
     none = F.filter("runs", lambda r: F.lit(False))
     accepted = F.aggregate(
@@ -100,27 +120,7 @@ def accept_in_order(candidates: DataFrame, tolerance: float = TOLERANCE) -> Data
             F.exists(kept, lambda k: _near(k["compared"], run["compared"], tolerance)), kept
         ).otherwise(F.concat(kept, F.array(run))),
     )
-    return group.select("model_name", F.explode(F.transform(accepted, lambda r: r["run_id"])).alias("run_id"))
-
-
-def accept_in_rounds(candidates: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """The same result for groups of any size.
-
-    Of equal metric values only the first run can be accepted, so copies are reduced first.
-    Each round accepts the runs without an earlier near one still open and drops the open runs
-    near an accepted one; both are joins on cells. The earliest open run is always accepted.
-    """
-    keys = ["model_name", "params_json", "compared"]
-    left = cut_lineage(candidates.groupBy(*keys).agg(F.min("turn").alias("turn")))
-    accepted = left.limit(0)
-    while not left.isEmpty():
-        marked = mark_near_duplicates(left, left, tolerance=tolerance, earlier="turn")
-        free = cut_lineage(marked.filter(~F.col("duplicate")).drop("duplicate"))
-        accepted = accepted.union(free)
-        blocked = marked.filter("duplicate").drop("duplicate")
-        still = mark_near_duplicates(blocked, free, tolerance=tolerance)
-        left = cut_lineage(still.filter(~F.col("duplicate")).drop("duplicate"))
-    return accepted.select("model_name", F.col("turn.run_id").alias("run_id"))
+    return group.select("model_name", F.explode(F.transform(accepted, lambda r: r["turn"]["run_id"])).alias("run_id"))
 
 
 def number_in_order(df: DataFrame, group: str, turn: str, number: str = "number") -> DataFrame:
@@ -146,36 +146,34 @@ def register_decisions(
     when: Column,
     primary: str = PRIMARY_METRIC,
     tolerance: float = TOLERANCE,
-    limit: int | None = SEARCH_LIMIT,
+    limit: int | None = None,
     check_duplicates: bool = True,
 ) -> DataFrame:
     """One row per run found, with its ``outcome``: logged, duplicate or registered.
 
     Runs are taken best first. A run already logged is left alone; one near a stored version,
     or near a run accepted before it, is a duplicate; the rest get the next version numbers.
-    ``versions`` has model_name, version, params_json and ``compared``. ``limit`` is the search
-    limit per model type; None takes all runs.
+    ``versions`` has model_name, version, params_json and ``compared``. ``limit`` takes only so
+    many of the unlogged runs of each model type, the best first.
     """
     params = F.coalesce(canonical_json("params"), F.lit("{}"))
-    found = (runs if limit is None else top_runs(runs, primary, True, limit)).withColumns(
+    found = with_logged_flag(runs, log, ["run_id"])
+    if limit is not None:
+        fresh = top_runs(found.filter(~F.col("already_logged")), primary, True, limit)
+        found = found.filter("already_logged").unionByName(fresh)
+    found = found.withColumns(
         {"model_name": model_name, "params_json": params, "compared": compared(), "turn": _turn(primary)}
     )
-    found = with_logged_flag(found, log, ["run_id"])
     fresh = found.filter(~F.col("already_logged"))
     if check_duplicates:
         marked = mark_near_duplicates(fresh, versions, tolerance=tolerance)
-        accept = accept_in_rounds if limit is None else accept_in_order
-        accepted = accept(marked.filter(~F.col("duplicate")), tolerance)
+        accepted = accept_in_order(marked.filter(~F.col("duplicate")), tolerance)
     else:
         accepted = fresh.select("model_name", "run_id")
     outcome = with_logged_flag(found, accepted, ["model_name", "run_id"], "registered")
 
-    if limit is None:
-        turns = outcome.filter("registered").select("model_name", "turn")
-        numbered = outcome.join(number_in_order(turns, "model_name", "turn"), ["model_name", "turn"], "left")
-    else:
-        upto = Window.partitionBy("model_name").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-        numbered = outcome.withColumn("number", F.count_if("registered").over(upto))
+    turns = outcome.filter("registered").select("model_name", "turn")
+    numbered = outcome.join(number_in_order(turns, "model_name", "turn"), ["model_name", "turn"], "left")
     newest = versions.groupBy("model_name").agg(F.max("version").alias("newest"))
     number = F.coalesce("newest", F.lit(0)) + F.col("number")
     value = metric("metrics", primary)
@@ -212,6 +210,19 @@ def _raw_compared() -> Column:
     return F.array(*[metric("metrics", m) for m in COMPARED_METRICS])
 
 
+def version_rows(decisions: DataFrame) -> DataFrame:
+    """Rows of newly registered versions, with what later registrations compare by."""
+    return decisions.filter(F.col("outcome") == "registered").select(
+        "model_name",
+        "version",
+        "run_id",
+        F.lit("READY").alias("status"),
+        F.col("timestamp").alias("creation_timestamp"),
+        "params_json",
+        compared().alias("compared"),
+    )
+
+
 def registration_log_rows(decisions: DataFrame) -> DataFrame:
     """Rows to append to the registration log."""
     return decisions.filter(F.col("outcome") != "logged").drop("outcome", "version", "metrics")
@@ -266,13 +277,11 @@ def staging_decisions(measured: DataFrame, aliases: DataFrame, alias: str = "Sta
     best = best_version(measured, maximize).select("model_name", F.col("version").alias("best"), "metric")
     held = aliases.filter(F.col("alias") == alias).select("model_name", F.col("version").alias("current"))
     current, new = F.col("current"), F.col("best")
-    moved = F.concat(
-        F.lit("Better model found (v"), new.cast("string"), F.lit(" > v"), current.cast("string"), F.lit(")")
-    )
+    named = F.concat(F.lit("v"), new.cast("string"))
     reason = (
-        F.when(current.isNull(), "First staging model (best from all versions)")
-        .when(current == new, "Best model already in staging")
-        .otherwise(moved)
+        F.when(current.isNull(), F.concat(named, F.lit(" is the best version, none was staged")))
+        .when(current == new, F.concat(named, F.lit(" is staged and still the best")))
+        .otherwise(F.concat(named, F.lit(" is better than the staged v"), current.cast("string")))
     )
     decided = best.join(held, "model_name", "left")
     return decided.withColumns({"promote": current.isNull() | (current != new), "reason": reason})
@@ -317,19 +326,19 @@ def traffic_totals(plan: DataFrame, by: Sequence[str] = ("endpoint",)) -> DataFr
     return totals.withColumn("valid", F.col("total_traffic") == 100)
 
 
-def traffic_routes(plan: DataFrame) -> DataFrame:
-    """The 100 slots of an endpoint and the version each goes to, in plan order."""
+def traffic_routes(plan: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The 100 slots of each endpoint (named by the columns ``by``) and the version each goes to, in plan order."""
     active = plan.filter("active")
-    order = Window.orderBy("position")  # a plan has at most 100 active versions
-    upto = F.sum("traffic").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    shares = active.withColumn("until", upto).withColumn("total", F.sum("traffic").over(Window.partitionBy(F.lit(0))))
+    own = Window.partitionBy(*(by or [F.lit(0)]))  # an endpoint has at most 100 active versions
+    upto = F.sum("traffic").over(own.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
+    shares = active.withColumn("until", upto).withColumn("total", F.sum("traffic").over(own))
     wrong = F.concat(F.lit("traffic percentages add up to "), F.col("total").cast("string"))
     checked = shares.withColumn(
         "until", F.when(F.col("total") == 100, F.col("until")).otherwise(F.raise_error(wrong).cast("bigint"))
     )
     slots = F.sequence((F.col("until") - F.col("traffic")).cast("int"), (F.col("until") - 1).cast("int"))
     routed = checked.filter(F.col("traffic") > 0)
-    return routed.select("model_name", "version", F.explode(slots).alias("slot"))
+    return routed.select(*by, "model_name", "version", F.explode(slots).alias("slot"))
 
 
 def hash_slot(key: str) -> Column:
@@ -338,7 +347,12 @@ def hash_slot(key: str) -> Column:
     return F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(100)).cast("int")
 
 
-def route_rows(df: DataFrame, plan: DataFrame, key: str) -> DataFrame:
-    """Give each row the model version its hashed key falls to."""
-    routes = broadcast_if_small(traffic_routes(plan), 100)
-    return df.withColumn("slot", hash_slot(key)).join(routes, "slot")
+def route_rows(df: DataFrame, plan: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Give each row the model version its hashed key falls to, at the endpoint that its columns ``by`` name.
+
+    Fails on a row whose endpoint has no active version.
+    """
+    routes = broadcast_if_small(traffic_routes(plan, by))
+    routed = df.withColumn("slot", hash_slot(key)).join(routes, [*by, "slot"], "left")
+    none = F.raise_error(F.lit("no active version to route to")).cast("string")
+    return routed.withColumn("model_name", F.coalesce("model_name", none))

@@ -65,10 +65,15 @@ def evaluation_rows(
     artifact_path: str = "ml_model",
     primary: str = PRIMARY_METRIC,
     maximize: bool = True,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Log rows of the best run of each name that is not in the log yet."""
-    found = top_runs(runs, primary, maximize)
-    fresh = not_logged(found, log, ["run_name"])
+    """Log rows of the best run of each name that is not in the log yet.
+
+    ``limit`` takes only so many of the unlogged runs of each model type, the best first.
+    """
+    fresh = not_logged(runs, log, ["run_name"])
+    if limit is not None:
+        fresh = top_runs(fresh, primary, maximize, limit)
     return best_runs(fresh, primary, maximize).select(
         when.alias("timestamp"),
         "run_id",

@@ -25,13 +25,13 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``: per label, the first round(fraction * n) rows in hash order, part by part.
 
-    Rows left over are "train". Rows with the same key stay together, so the sizes are exact
+    Rows left over are "train". Rows without a label are a stratum of their own. Rows with the same key stay together, so the sizes are exact
     when keys are unique. Hashes are spread evenly over 16**digits prefixes, so the cut of a
     part lies in one small prefix: a count per prefix finds it, only the hashes of that prefix
     are put in order, and every row is then compared with the cut.
     """
     parts = dict(fractions or {"test": 0.2})
-    drawn = df.select(F.col(label).alias("stratum"), split_hash(key, seed).alias("place"))
+    drawn = df.select(F.struct(F.col(label).alias("label")).alias("stratum"), split_hash(key, seed).alias("place"))
     prefix = F.substring("place", 1, digits).alias("prefix")
     counts = drawn.groupBy("stratum", prefix).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("stratum").orderBy("prefix")
@@ -60,7 +60,7 @@ def stratified_split(
     split = F.lit("train")
     for name in reversed(parts):
         split = F.when(F.col("split_place") <= F.col("cuts")[name], F.lit(name)).otherwise(split)
-    placed = df.withColumn("split_place", split_hash(key, seed)).withColumn("split_stratum", F.col(label))
+    placed = df.withColumn("split_place", split_hash(key, seed)).withColumn("split_stratum", F.struct(F.col(label).alias("label")))
     found = broadcast_if_small(limits.withColumnRenamed("stratum", "split_stratum"))
     joined = placed.join(found, "split_stratum", "left")
     return joined.withColumn("split", split).drop("split_place", "split_stratum", "cuts")

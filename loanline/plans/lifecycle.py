@@ -14,9 +14,10 @@ from loanline.operators.registry import (
     registration_log_rows,
     staging_decisions,
     version_metrics,
+    version_rows,
 )
 from loanline.operators.runs import evaluation_rows
-from loanline.schemas import ALIASES, EVALUATION_LOG, REGISTRATION_LOG, UAT_RESULTS
+from loanline.schemas import ALIASES, EVALUATION_LOG, REGISTRATION_LOG, STORED_VERSIONS, UAT_RESULTS
 from loanline.sources.folders import cut_lineage
 from loanline.sources.tables import append, create_if_missing, replace_keys, scan
 
@@ -39,6 +40,24 @@ def register(
     return decided
 
 
+def register_and_store(
+    spark: SparkSession, runs: DataFrame, versions: str, log: str, model_name: Column, when: Column, **options
+) -> DataFrame:
+    """Decide on all runs against the stored versions, store the new ones, append the log; returns the decisions.
+
+    Numbers go on from the stored versions. These are written first, and a run that has a version counts as logged, so
+    a job that broke off between the two tables registers nothing twice. ``options`` go to ``register_decisions``.
+    """
+    create_if_missing(spark, log, REGISTRATION_LOG)
+    create_if_missing(spark, versions, STORED_VERSIONS)
+    known = scan(spark, versions, STORED_VERSIONS)
+    done = scan(spark, log, REGISTRATION_LOG).select("run_id").union(known.select("run_id"))
+    decided = cut_lineage(register_decisions(runs, done, known, model_name, when, **options))
+    append(version_rows(decided), versions)
+    append(registration_log_rows(decided), log)
+    return decided
+
+
 def uat_rows(scored: DataFrame, model_type: str, when: Column, by: list[str]) -> DataFrame:
     """Acceptance result of each scored model version."""
     metrics = binary_metrics(scored, "label", "prediction", by)

@@ -13,7 +13,7 @@ from loanline.operators.encoding import fit_one_hot, fit_scaler, one_hot, ordina
 from loanline.operators.incremental import new_records
 from loanline.schemas import KEYS
 from loanline.sources.models import load_model, save_model
-from loanline.sources.tables import append, overwrite, project_features, scan
+from loanline.sources.tables import append, exists, overwrite, project_features, scan
 
 # Row-wise steps in order; the last two steps of a load need a fit and are in Preprocessor.
 ROW_STEPS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -78,10 +78,13 @@ def incremental_load(
     model_path: str,
     keys: Sequence[str] = tuple(KEYS),
     null_safe: bool = True,
+    **fit: str,
 ) -> int:
     """Append the loans not yet in the feature table, coded by the models saved by the full load.
 
-    Using the stored models keeps all rows of the table on one scale and width.
+    Using the stored models keeps all rows of the table on one scale and width. Without a table this is the full load.
     """
+    if not exists(spark, target):
+        return full_load(raw, target, model_path, keys, **fit)
     fresh = new_records(project_features(raw, keys=keys), scan(spark, target), keys, null_safe)
     return append(Preprocessor.load(model_path).apply(fresh, keys), target)

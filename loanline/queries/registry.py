@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loanline.functions import canonical_json
 from loanline.operators import registry
-from loanline.plans.lifecycle import promote_to_production, promote_to_staging, register
+from loanline.plans.lifecycle import promote_to_production, promote_to_staging, register, register_and_store
 from loanline.queries.runs import earlier_runs, json_sql
 from loanline.queries.standins import (
     BASE_MODEL,
@@ -24,7 +24,7 @@ from loanline.queries.standins import (
     table,
     versions,
 )
-from loanline.schemas import ALIASES, COMPARED_METRICS, REGISTRATION_LOG
+from loanline.schemas import ALIASES, COMPARED_METRICS, REGISTRATION_LOG, STORED_VERSIONS
 from loanline.sources import replace_keys, scan, work_folder
 
 
@@ -89,6 +89,30 @@ def registration_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def registration_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored versions after the early runs, then all runs, then all runs once more."""
+    log, known = work_folder(spark, "registrations"), work_folder(spark, "versions")
+    every, when = runs(spark, sf_dir), moment(NOW_TEXT).cast("timestamp")
+    for batch in (every.filter(F.col("start_time") < moment(LOGGED_BEFORE)), every, every):
+        register_and_store(spark, batch, known, log, model_of(), when, tolerance=DECISION_TOLERANCE)
+    return scan(spark, known, STORED_VERSIONS).select("model_name", "version", "run_id", "params_json")
+
+
+def registration_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer a run, each near the next one alone: every second one is registered."""
+    key = F.col("c_custkey").cast("double")
+    values = {m: key * 6 / 10000 for m in COMPARED_METRICS}
+    chain = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("chain_"), F.col("c_custkey").cast("string")).alias("run_id"),
+        F.lit("chain").alias("run_name"), F.lit("chain").alias("experiment_name"), F.lit("random_forest").alias("model_type"),
+        now().alias("start_time"), F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values())).alias("metrics"),
+        F.create_map(F.lit("depth"), F.lit("1")).alias("params"),
+    )
+    nothing, none = chain.select("run_id").limit(0), registered(spark, sf_dir).limit(0)
+    decided = registry.register_decisions(chain, nothing, none, model_of(), now())
+    return decided.select("run_id", "outcome", "registered_version")
+
+
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.registration_summary(_decided(spark, sf_dir))
 
@@ -191,6 +215,22 @@ def traffic_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.route_rows(orders, _plan(spark, sf_dir), "o_orderkey")
 
 
+def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan for each order status; one sends all to its first version, one splits in two."""
+    endpoint = F.explode(F.array(*map(F.lit, "FOP"))).alias("o_orderstatus")
+    plan = _plan(spark, sf_dir).select("*", endpoint)
+    place = F.col("position")
+    single = F.when(place == 0, 100).otherwise(0)
+    double = F.when(place == 0, 40).when(place == 1, 60).otherwise(0)
+    share = F.when(F.col("o_orderstatus") == "F", F.col("traffic")).when(F.col("o_orderstatus") == "O", single).otherwise(double)
+    return plan.withColumn("traffic", share.cast("bigint"))
+
+
+def traffic_split_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return registry.route_rows(orders, _plans(spark, sf_dir), "o_orderkey", ["o_orderstatus"])
+
+
 _EARLIER = f"start_time < TIMESTAMP '{LOGGED_BEFORE}'"
 _COMPARED = ", ".join(f"coalesce({m}, 0) AS v{i}" for i, m in enumerate(COMPARED_METRICS))
 _JUDGED = f"SELECT run_id, model_name, params_json, start_time, {_COMPARED} FROM runs"
@@ -214,7 +254,7 @@ _WALK = {
     "candidates": f"""SELECT *, place AS p,
  {_EARLIER} AND criterion = 'gini' AS logged,
  EXISTS (SELECT 1 FROM judged v WHERE v.{_EARLIER} AND {_near("v", "f", DECISION_TOLERANCE)}) AS known
- FROM found f WHERE place <= 500""",
+ FROM found f""",
     "walk": f"""SELECT DISTINCT model_name, CAST(0 AS BIGINT) AS place,
   CAST([] AS STRUCT(run_id VARCHAR, params_json VARCHAR, v DOUBLE[])[]) AS kept FROM candidates
  UNION ALL
@@ -234,7 +274,13 @@ _WALK = {
 _WALK_ALL = {
     name: sql.replace(f"CAST({DECISION_TOLERANCE} AS DOUBLE)", f"CAST({WIDE_TOLERANCE} AS DOUBLE)")
     .replace(f"{_EARLIER} AND criterion = 'gini' AS logged", "FALSE AS logged")
-    .replace(" WHERE place <= 500", "")
+    for name, sql in _WALK.items()
+}
+_WALK_BATCHES = {
+    name: sql.replace("ORDER BY test_recall DESC", f"ORDER BY r.{_EARLIER} DESC, test_recall DESC")
+    .replace(f"{_EARLIER} AND criterion = 'gini' AS logged", "FALSE AS logged")
+    .replace(" EXISTS (SELECT 1 FROM judged v", " FALSE AND EXISTS (SELECT 1 FROM judged v")
+    .replace("coalesce(n.newest, 0) + ", "")
     for name, sql in _WALK.items()
 }
 _VERSION = "CASE WHEN registered THEN CAST(number AS VARCHAR) ELSE 'N/A' END AS registered_version"
@@ -245,9 +291,9 @@ _BEST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name O
  FROM ready) WHERE nth = 1"""
 _STAGED = f"""SELECT b.model_name, b.version AS best, b.metric, a.version AS current,
  a.version IS NULL OR a.version <> b.version AS promote,
- CASE WHEN a.version IS NULL THEN 'First staging model (best from all versions)'
-      WHEN a.version = b.version THEN 'Best model already in staging'
-      ELSE 'Better model found (v' || b.version || ' > v' || a.version || ')' END AS reason
+ CASE WHEN a.version IS NULL THEN 'v' || b.version || ' is the best version, none was staged'
+      WHEN a.version = b.version THEN 'v' || b.version || ' is staged and still the best'
+      ELSE 'v' || b.version || ' is better than the staged v' || a.version END AS reason
  FROM best b LEFT JOIN aliases a ON a.model_name = b.model_name"""
 _LATEST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name, model_version
  ORDER BY "timestamp" DESC, run_id) AS nth FROM acceptance) WHERE nth = 1"""
@@ -304,6 +350,20 @@ FROM decided WHERE outcome <> 'logged'""",
             },
         ),
     ),
+    "registration_two_batches": (
+        registration_two_batches,
+        oracle(
+            "SELECT model_name, CAST(number AS INTEGER) AS version, run_id, params_json FROM decided WHERE registered",
+            "runs",
+            **_WALK_BATCHES,
+        ),
+    ),
+    "registration_chain": (
+        registration_chain,
+        """WITH placed AS (SELECT c_custkey, max(c_custkey) OVER () - c_custkey AS behind FROM customer)
+SELECT 'chain_' || c_custkey AS run_id, CASE WHEN behind % 2 = 0 THEN 'registered' ELSE 'duplicate' END AS outcome,
+ CASE WHEN behind % 2 = 0 THEN CAST(behind // 2 + 1 AS VARCHAR) ELSE 'N/A' END AS registered_version FROM placed""",
+    ),
     "registration_summary": (
         summary,
         oracle(
@@ -411,6 +471,14 @@ WHERE l_linestatus = 'O' AND NOT EXISTS (SELECT 1 FROM lineitem k WHERE k.l_retu
         traffic_check,
         """SELECT l_orderkey AS endpoint, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_traffic,
  sum(CAST(l_quantity AS BIGINT)) = 100 AS valid FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_orderkey""",
+    ),
+    "traffic_split_endpoints": (
+        traffic_split_endpoints,
+        f"""WITH slotted AS (SELECT o_orderkey, o_orderstatus,
+ CAST(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT) % 100 AS INTEGER) AS slot FROM orders)
+SELECT s.slot, s.o_orderkey, s.o_orderstatus, '{BASE_MODEL}' || lower(r_name) AS model_name, r_regionkey + 1 AS version
+FROM slotted s JOIN region ON r_regionkey = CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN CASE WHEN slot < 40 THEN 0 ELSE 1 END
+ ELSE CASE WHEN slot < 50 THEN 0 WHEN slot < 80 THEN 1 ELSE 2 END END""",
     ),
     "traffic_split": (
         traffic_split,

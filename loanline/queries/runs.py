@@ -91,7 +91,7 @@ def json_sql(metrics: list[str], nulls: bool) -> str:
 
 
 _FRESH = """SELECT *, row_number() OVER (PARTITION BY model_type, run_name ORDER BY test_recall DESC, start_time, run_id)
- AS nth FROM found WHERE place <= 500 AND run_name NOT IN (SELECT run_name FROM logged)"""
+ AS nth FROM found WHERE run_name NOT IN (SELECT run_name FROM logged)"""
 _EVALUATION = dict(found=_FOUND, logged=f"SELECT run_name FROM runs WHERE {_EARLIER}", fresh=_FRESH)
 
 
@@ -108,7 +108,22 @@ def _ranking_sql() -> str:
     )
 
 
+def evaluation_log_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best three of the unlogged runs of each type, where more are logged than that."""
+    found = evaluation_rows(runs(spark, sf_dir), earlier_runs(spark, sf_dir), model_of(), now(), limit=3)
+    return found.select("model_type", "run_name", "run_id")
+
+
 QUERIES = {
+    "evaluation_log_limited": (
+        evaluation_log_limited,
+        oracle(
+            f"""SELECT model_type, run_name, run_id FROM (SELECT *, row_number() OVER (PARTITION BY model_type, run_name
+ ORDER BY {_BEST}) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY model_type ORDER BY {_BEST}) AS fresh_place FROM runs
+ WHERE run_name NOT IN (SELECT run_name FROM runs WHERE {_EARLIER})) WHERE fresh_place <= 3) WHERE nth = 1""",
+            "runs",
+        ),
+    ),
     "top_runs": (
         top,
         oracle("SELECT model_type, run_id, test_recall FROM found WHERE place <= 500", "runs", found=_FOUND),
@@ -147,7 +162,7 @@ UNION ALL SELECT run_id, run_name, model_type, test_recall FROM earlier WHERE nt
             "runs",
             first=f"SELECT *, row_number() OVER (PARTITION BY model_type ORDER BY {_BEST}) AS place FROM runs WHERE {_EARLIER}",
             earlier="""SELECT *, row_number() OVER (PARTITION BY model_type, run_name ORDER BY test_recall DESC, start_time,
- run_id) AS nth FROM first WHERE place <= 500""",
+ run_id) AS nth FROM first""",
             **{**_EVALUATION, "logged": "SELECT run_name FROM earlier"},
         ),
     ),

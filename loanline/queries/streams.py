@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loanline.plans.preprocessing import Preprocessor, run_steps
 from loanline.plans.settings import EXPERIMENTS
@@ -43,11 +44,11 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     Preprocessor.fit(rows.filter(F.col("start_date") < moment(LOADED_BEFORE)), impute="mean").save(models)
     fitted = Preprocessor.load(models)
     schema = fitted.apply(rows, KEYS).schema
-    for _ in range(2):
+    for turn in range(2):
         arriving = loans_from(stream(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
         query = ingest_stream(
             project_features(arriving, keys=KEYS), target, work_folder(spark, "checkpoint"),
-            lambda batch: fitted.apply(batch, KEYS), schema,
+            lambda batch: fitted.apply(batch, KEYS), schema, stream_id=f"orders-{turn}",
         )
         query.awaitTermination()
     stored = scan(spark, target, schema)
@@ -55,6 +56,21 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(stored.withMetadata("features", schema["features"].metadata), [*KEYS, "label"])
 
 
+def stream_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams of user and type fill one table; a key stays as the first stream has it. A replay adds nothing."""
+    target = work_folder(spark, "streams")
+    schema = StructType.fromDDL("user_id long, event_type string, event_id long")
+    shown = F.col("event_type").isin("click", "view")
+    for name, kept, offset in (("early", shown, 0), ("late", F.lit(True), 1_000_000), ("replay", shown, 2_000_000)):
+        arriving = stream(spark, sf_dir, "events").filter(kept)
+        rows = arriving.select(F.col("user_id").cast("long"), "event_type", (F.col("event_id").cast("long") + offset).alias("event_id"))
+        query = ingest_stream(
+            rows, target, work_folder(spark, "checkpoint"), lambda batch: batch, schema, ["user_id", "event_type"], stream_id=name
+        )
+        query.awaitTermination()
+    return scan(spark, target).select("user_id", "event_type", "event_id")
+
+
 def _sink(rows: DataFrame, spark: SparkSession) -> DataFrame:
     """Drain a stream into a file sink and read it back."""
     target = work_folder(spark, "sink")
@@ -94,6 +110,12 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "stream_incremental": (incremental_stream, scaled_sql(KEYS, EARLY, True)),
+    "stream_two_sources": (
+        stream_two_sources,
+        """SELECT CAST(user_id AS BIGINT) AS user_id, event_type,
+ min(CAST(event_id AS BIGINT)) + CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE 1000000 END AS event_id
+FROM events GROUP BY user_id, event_type""",
+    ),
     "stream_exclusion": (
         stream_exclusion,
         f"""SELECT event_id, user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s

@@ -132,6 +132,13 @@ VERSIONS = T.StructType(
         T.StructField("creation_timestamp", T.TimestampType()),
     ]
 )
+STORED_VERSIONS = T.StructType(
+    [
+        *VERSIONS.fields,
+        T.StructField("params_json", T.StringType()),
+        T.StructField("compared", T.ArrayType(T.DoubleType())),
+    ]
+)
 ALIASES = T.StructType(
     [
         T.StructField("model_name", T.StringType()),

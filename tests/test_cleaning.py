@@ -88,7 +88,7 @@ def test_step_switches(spark):
 
 
 def test_required_columns(spark):
-    with pytest.raises(ValueError, match="Missing input features: \\['income'\\]"):
+    with pytest.raises(ValueError, match="the input lacks \\['income'\\]"):
         require_columns(_frame(spark), ["age", "income"])
 
 

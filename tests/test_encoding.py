@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from loanline.operators.splitting import stratified_split
 from loanline.operators.encoding import (
     category_index,
     fit_one_hot,
@@ -94,3 +95,9 @@ def test_zip_long_lists(spark):
         F.create_map(F.lit("a"), F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda x: x.cast("string"))).alias("lists")
     )
     assert zip_params(df).agg(F.sum(F.col("params")["a"].cast("int"))).first()[0] == math.comb(5001, 2)
+
+
+def test_rows_without_a_label_are_split_like_others(spark):
+    df = spark.range(500).selectExpr("id", "if(id < 250, NULL, 1) AS label")
+    sizes = stratified_split(df, "label", "id").groupBy("label", "split").count().collect()
+    assert {(r.label, r.split): r["count"] for r in sizes} == {(None, "test"): 50, (None, "train"): 200, (1, "test"): 50, (1, "train"): 200}

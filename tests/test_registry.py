@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loanline.operators import registry
 from loanline.operators.runs import best_runs, experiment_rows, name_contains, top_runs
-from loanline.schemas import RUNS
+from loanline.schemas import COMPARED_METRICS, RUNS
 
 BEGIN = datetime(2024, 1, 1)
 VERSIONS = "model_name string, version int, params_json string, compared array<double>"
@@ -169,9 +169,9 @@ def test_staging_cases(spark):
     held = spark.createDataFrame([("a", "Staging", 2), ("b", "Staging", 1), ("c", "Production", 2)], "model_name string, alias string, version int")
     found = {r.model_name: (r.promote, r.reason) for r in registry.staging_decisions(df, held).collect()}
     assert found == {
-        "a": (False, "Best model already in staging"),
-        "b": (True, "Better model found (v2 > v1)"),
-        "c": (True, "First staging model (best from all versions)"),
+        "a": (False, "v2 is staged and still the best"),
+        "b": (True, "v2 is better than the staged v1"),
+        "c": (True, "v2 is the best version, none was staged"),
     }
 
 
@@ -213,3 +213,35 @@ def test_routing_is_whole_and_repeatable(spark):
     assert first.count() == 2000
     assert first.exceptAll(registry.route_rows(rows.repartition(5), _plan(spark, [50, 50]), "id")).count() == 0
     assert 850 < first.filter("version = 0").count() < 1150
+
+
+def test_each_endpoint_has_its_plan_and_an_empty_plan_fails(spark):
+    plan = _plan(spark, [50, 50]).withColumn("endpoint", F.lit("a")).unionByName(
+        _plan(spark, [100, 0]).withColumn("endpoint", F.lit("b"))
+    )
+    rows = spark.range(400).selectExpr("id", "if(id % 2 = 0, 'a', 'b') AS endpoint")
+    routed = registry.route_rows(rows, plan, "id", ["endpoint"])
+    assert routed.count() == 400
+    assert {(r.endpoint, r.version) for r in routed.collect()} == {("a", 0), ("a", 1), ("b", 0)}
+    with pytest.raises(Exception, match="no active version"):
+        registry.route_rows(rows, _plan(spark, [50, 50]).filter("false"), "id").collect()
+
+
+def test_jobs_do_not_grow_with_a_chain(spark):
+    def jobs(links: int) -> int:
+        rows = [(f"r{i:04}", {m: i * 0.0006 for m in COMPARED_METRICS}, {"p": "1"}) for i in range(links)]
+        group = f"chain-{links}"
+        spark.sparkContext.setJobGroup(group, group)
+        found = _decide(spark, _runs(spark, rows))
+        spark.sparkContext.setJobGroup("", "")
+        assert sum(o == "registered" for o, _ in found.values()) == links // 2
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    short, long = jobs(16), jobs(1024)
+    assert long <= short + 60, (short, long)
+
+
+def test_logged_runs_do_not_use_up_a_limit(spark):
+    runs = _runs(spark, [(f"r{i}", {"test_recall": 0.9 - i / 100}, {"p": str(i)}) for i in range(8)])
+    found = _decide(spark, runs, logged=[f"r{i}" for i in range(5)], limit=2)
+    assert {k for k, (o, _) in found.items() if o == "registered"} == {"r5", "r6"}

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -18,7 +19,7 @@ def _double(df):
 
 def _run(spark, source, folder, checkpoint):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-    ingest_stream(stream, f"{folder}/out", f"{folder}/{checkpoint}", _double, OUT, ["id", "part"]).awaitTermination()
+    ingest_stream(stream, f"{folder}/out", f"{folder}/{checkpoint}", _double, OUT, ["id", "part"], stream_id=checkpoint).awaitTermination()
     return sorted(tuple(r) for r in scan(spark, f"{folder}/out").select("id", "part", "doubled").collect())
 
 
@@ -42,3 +43,15 @@ def test_stream_equals_batch(spark, folder):
     empty = spark.createDataFrame([], OUT)
     batch = _double(new_records(df.dropDuplicates(["id", "part"]), empty, ["id", "part"])).collect()
     assert _run(spark, source, folder, "c") == sorted(map(tuple, batch))
+
+
+def test_two_streams_share_a_table(spark, folder):
+    schema = "id long, part string, v int"
+    for name, rows in (("a", [(1, "p", 9), (1, "p", 3), (2, "p", 4)]), ("b", [(3, "p", 5), (2, "p", 8)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}")
+        found = _run(spark, f"{folder}/{name}", folder, f"checkpoint-{name}")
+    assert found == [(1, "p", 6), (2, "p", 8), (3, "p", 10)]
+    assert _run(spark, f"{folder}/a", folder, "checkpoint-c") == found
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/a")
+    with pytest.raises(ValueError, match="already has the checkpoint"):
+        ingest_stream(stream, f"{folder}/out", f"{folder}/other", _double, OUT, ["id", "part"], stream_id="checkpoint-a")
