@@ -115,7 +115,6 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .groupBy(F.col("row").alias("__of"))
         .agg(F.collect_set(F.struct("low", "high")).alias("__differing"))
     )
-    differing = stored(differing, "line-differing")  # as good as always empty, which spares the join a shuffle of texts
     checked = joined.join(differing, F.col("__row") == F.col("__of"), "left").drop("__of")
 
     gone = F.filter(
