@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     ElementwiseProduct,
-    Imputer,
     OneHotEncoder,
     SQLTransformer,
     StandardScaler,
-    StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from loanline.operators.sizes import check_cardinality
 from loanline.schemas import KEYS, NOMINAL, ORDINAL_CATEGORIES
 
 MAX_CATEGORIES = 10_000
@@ -38,12 +37,67 @@ def ordinal_encode(df: DataFrame, categories: Mapping[str, Sequence[str]] = ORDI
     return df.withColumns({c: ordinal_code(c, listed) for c, listed in categories.items()})
 
 
-def category_index(df: DataFrame, columns: Sequence[str], max_categories: int = MAX_CATEGORIES) -> DataFrame:
+@dataclass
+class Summary:
+    """What the fits need to know of the data: rows, values by frequency (ties in text order), fills of gaps."""
+
+    rows: int
+    values: dict[str, list[str]]
+    fills: dict[str, float]
+
+
+def numeric_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    return [f.name for f in df.schema.fields if f.name in columns and isinstance(f.dataType, NumericType)]
+
+
+def summarise(
+    df: DataFrame,
+    texts: Sequence[str],
+    numbers: Sequence[str] = (),
+    impute: str | None = None,
+    max_categories: int = MAX_CATEGORIES,
+) -> Summary:
+    """One scan for the values of all text columns and the mean or median of the numeric ones.
+
+    Each grouping set is one column's values, the last one the whole table. Nulls and NaN do not count. Fails when a
+    column has more than ``max_categories`` distinct values; no more than that many a column reach the driver.
+    """
+    one = F.count(F.lit(1)).alias("rows")
+    known = {c: F.when(~F.isnan(c), F.col(c).cast("double")) for c in numbers}
+    middle = {None: F.avg, "mean": F.avg, "median": lambda c: F.percentile_approx(c, 0.5)}[impute]
+    fills = [middle(c).alias(f"fill {name}") for name, c in known.items()]
+    keys = [F.col(c) for c in texts]
+    marks = [F.grouping(c).alias(f"all {c}") for c in texts]
+    sets = df.groupingSets([*[[k] for k in keys], []], *keys).agg(one, *marks, *fills) if texts else df.agg(one, *fills)
+
+    bound = len(texts) * (max_categories + 1) + 1
+    found = sets.limit(bound + 1).collect()
+    total, counts = None, {c: [] for c in texts}
+    for row in found:
+        column = next((c for c in texts if row[f"all {c}"] == 0), None)
+        if column is None:
+            total = row
+        elif row[column] is not None:
+            counts[column].append((-row["rows"], str(row[column])))
+    over = [c for c, listed in counts.items() if len(listed) > max_categories]
+    if over or len(found) > bound:
+        raise ValueError(f"too many distinct values to index (limit {max_categories}): {over or list(texts)}")
+    values = {c: [v for _, v in sorted(listed)] for c, listed in counts.items()}
+    if total is None:  # an empty table has no grand total
+        return Summary(0, values, dict.fromkeys(numbers))
+    return Summary(total["rows"], values, {c: total[f"fill {c}"] for c in numbers})
+
+
+def _indexer(values: Mapping[str, Sequence[str]], inputs: Sequence[str], outputs: Sequence[str]) -> StringIndexerModel:
+    listed = [list(values[c]) for c in inputs]
+    return StringIndexerModel.from_arrays_of_labels(listed, list(inputs), list(outputs), handleInvalid="keep")
+
+
+def category_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows (column, value, n, index): most frequent value first, ties in text order.
 
     All columns are counted in one aggregation; only the distinct values are ranked.
     """
-    check_cardinality(df, columns, max_categories)
     long = df.select(*columns).unpivot([], list(columns), "column", "value").filter(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
@@ -51,16 +105,17 @@ def category_index(df: DataFrame, columns: Sequence[str], max_categories: int =
 
 
 def fit_one_hot(
-    df: DataFrame, columns: Sequence[str] = tuple(NOMINAL), max_categories: int = MAX_CATEGORIES
+    df: DataFrame,
+    columns: Sequence[str] = tuple(NOMINAL),
+    max_categories: int = MAX_CATEGORIES,
+    known: Summary | None = None,
 ) -> PipelineModel:
-    """Index all columns in one pass over the data, then one-hot them.
+    """Index all columns in one pass over the data, or none where it is ``known``, then one-hot them.
 
     A value not seen in the fit, null included, becomes the zero vector.
     """
-    check_cardinality(df, columns, max_categories)
-    index = StringIndexer(
-        inputCols=list(columns), outputCols=[f"{c}_index" for c in columns], handleInvalid="keep"
-    )
+    known = known or summarise(df, columns, max_categories=max_categories)
+    index = _indexer(known.values, columns, [f"{c}_index" for c in columns])
     encode = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}_vec" for c in columns], dropLast=True)
     return Pipeline(stages=[index, encode]).fit(df.select(*columns))
 
@@ -71,20 +126,34 @@ def one_hot(df: DataFrame, model: PipelineModel, columns: Sequence[str] = tuple(
 
 
 def fit_scaler(
-    df: DataFrame, exclude: Sequence[str] = (*KEYS, "label"), invalid: str = "error", impute: str | None = None
+    df: DataFrame,
+    exclude: Sequence[str] = (*KEYS, "label"),
+    invalid: str = "error",
+    impute: str | None = None,
+    known: Summary | None = None,
 ) -> PipelineModel:
     """Assemble all but the excluded columns and standardise them (sample deviation).
 
     ``invalid`` says what a null does: "error" fails, "skip" leaves the row out.
-    ``impute`` ("mean" or "median") fills nulls of numeric columns first.
+    ``impute`` ("mean" or "median") fills nulls and NaN of numeric columns first, with what is ``known`` or one more
+    pass finds.
     """
     inputs = [c for c in df.columns if c not in exclude]
     stages = []
     if impute:
-        gaps = [f.name for f in df.schema.fields if f.name in inputs and isinstance(f.dataType, NumericType)]
-        filled = {c: f"{c}_filled" for c in gaps}
-        stages.append(Imputer(inputCols=gaps, outputCols=list(filled.values()), strategy=impute))
-        inputs = [filled.get(c, c) for c in inputs]
+        gaps = numeric_columns(df, inputs)
+        known = known or summarise(df, [], gaps, impute)
+        empty = [c for c in gaps if known.fills[c] is None]
+        if empty:
+            raise ValueError(f"no value to fill {empty} with")
+        kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        filled = ", ".join(
+            f"CAST(CASE WHEN `{c}` IS NULL OR isnan(`{c}`) THEN {known.fills[c]!r}D ELSE `{c}` END AS {kinds[c]}) "
+            f"AS `{c}_filled`"
+            for c in gaps
+        )
+        stages.append(SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"))
+        inputs = [f"{c}_filled" if c in gaps else c for c in inputs]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="unscaled_features", handleInvalid=invalid))
     stages.append(StandardScaler(inputCol="unscaled_features", outputCol="features", withMean=True, withStd=True))
     return Pipeline(stages=stages).fit(df)
@@ -120,15 +189,16 @@ def fit_training_features(
     kinds = {f.name: f.dataType for f in df.select(*features).schema.fields}
     texts = [c for c in features if isinstance(kinds[c], StringType)]
     numbers = [c for c in features if c not in texts]
-    rows = check_cardinality(df, texts, max_categories)
     filled = ", ".join(
         f"CASE WHEN `{c}` IS NULL THEN '{NULL_CATEGORY}' WHEN `{c}` = '' THEN '{BLANK_CATEGORY}' ELSE `{c}` END "
         f"AS `{c}_text`"
         for c in texts
     )
-    index = StringIndexer(
-        inputCols=[f"{c}_text" for c in texts], outputCols=[f"{c}_index" for c in texts], handleInvalid="keep"
-    )
+    coded = [f"{c}_text" for c in texts]
+    fill = [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")] if texts else []
+    known = summarise(fill[0].transform(df) if fill else df, coded, max_categories=max_categories)
+    rows = known.rows
+    index = _indexer(known.values, coded, [f"{c}_index" for c in texts])
     encode = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}_vec" for c in texts], dropLast=True)
     gather = VectorAssembler(inputCols=numbers, outputCol="numbers", handleInvalid=invalid)
     shrink = math.sqrt(rows / (rows - 1)) if rows > 1 else 1.0
@@ -137,5 +207,5 @@ def fit_training_features(
         inputCol="numbers_sample", outputCol="numbers_scaled", scalingVec=Vectors.dense([shrink] * len(numbers))
     )
     join = VectorAssembler(inputCols=[*encode.getOutputCols(), "numbers_scaled"], outputCol="features")
-    stages = [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"), index, encode] if texts else []
+    stages = [*fill, index, encode] if texts else []
     return Pipeline(stages=[*stages, gather, spread, factor, join]).fit(df)

@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanline.sources.folders import stored
+
 BROADCAST_ROWS = 100_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the counted rows allow it, else leave the join to Spark.
 
-    For narrow, already aggregated sides: they are kept so that they are computed once.
+    For narrow, already aggregated sides: they are written to the shared folder, so that they are computed once,
+    outlive a lost executor and leave no cached blocks behind.
     """
-    kept = df.persist()
+    kept = stored(df, "side")
     return F.broadcast(kept) if kept.count() <= max_rows else kept
-
-
-def check_cardinality(df: DataFrame, columns: Sequence[str], limit: int) -> int:
-    """Fail when a column has clearly more distinct values than a driver-side index may hold.
-
-    Returns the number of rows, counted in the same pass.
-    """
-    distinct = [F.approx_count_distinct(c).alias(c) for c in columns]
-    found = df.agg(F.count(F.lit(1)).alias("rows"), *distinct).first()
-    over = {c: n for c, n in zip(columns, found[1:], strict=True) if n > limit}
-    if over:
-        raise ValueError(f"too many distinct values to index (limit {limit}): {over}")
-    return found["rows"]

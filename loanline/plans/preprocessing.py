@@ -9,9 +9,17 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from loanline.operators.cleaning import prepare, unit_cleanup
-from loanline.operators.encoding import fit_one_hot, fit_scaler, one_hot, ordinal_encode, scale
+from loanline.operators.encoding import (
+    fit_one_hot,
+    fit_scaler,
+    numeric_columns,
+    one_hot,
+    ordinal_encode,
+    scale,
+    summarise,
+)
 from loanline.operators.incremental import new_records
-from loanline.schemas import KEYS
+from loanline.schemas import KEYS, NOMINAL
 from loanline.sources.models import load_model, save_model
 from loanline.sources.tables import append, exists, overwrite, project_features, scan
 
@@ -42,12 +50,15 @@ class Preprocessor:
     def fit(raw: DataFrame, invalid: str = "error", impute: str | None = None) -> Preprocessor:
         """Fit on projected raw rows.
 
-        The cleaned rows are not kept: each pass reads only the columns it needs, and the
-        cleaning is a projection that costs less than storing a large table again.
+        Two passes: one for the categories and the fills, one for the moments. The cleaned rows are not kept: each
+        pass reads only the columns it needs, and cleaning costs less than storing a large table again.
         """
         cleaned = run_steps(raw)
-        nominal = fit_one_hot(cleaned)
-        return Preprocessor(nominal, fit_scaler(one_hot(cleaned, nominal), invalid=invalid, impute=impute))
+        inputs = [c for c in cleaned.columns if c not in (*KEYS, "label")]
+        known = summarise(cleaned, NOMINAL, numeric_columns(cleaned, inputs) if impute else (), impute)
+        nominal = fit_one_hot(cleaned, known=known)
+        scaler = fit_scaler(one_hot(cleaned, nominal), invalid=invalid, impute=impute, known=known)
+        return Preprocessor(nominal, scaler)
 
     def apply(self, raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         """Keys, feature vector and label; one projection, no shuffle."""

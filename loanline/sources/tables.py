@@ -79,10 +79,11 @@ def replace_keys(df: DataFrame, target: str, keys: Sequence[str], fmt: str = "pa
     """Upsert: rows of ``df`` take the place of stored rows with the same keys.
 
     The table is partitioned by the keys and only the partitions that occur in ``df``
-    are rewritten, so a rerun gives the same table.
+    are rewritten, so a rerun gives the same table. Rows of a key are brought together before the write, those of a
+    large key in several tasks.
     """
     spark = df.sparkSession
-    watched, seen = counted(df)
+    watched, seen = counted(df.hint("rebalance", *keys))
     writer = watched.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if "/" in target:
         writer.partitionBy(*keys).save(target)
