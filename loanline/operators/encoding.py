@@ -88,9 +88,9 @@ def summarise(
     return Summary(total["rows"], values, {c: total[f"fill {c}"] for c in numbers})
 
 
-def _indexer(values: Mapping[str, Sequence[str]], inputs: Sequence[str], outputs: Sequence[str]) -> StringIndexerModel:
-    listed = [list(values[c]) for c in inputs]
-    return StringIndexerModel.from_arrays_of_labels(listed, list(inputs), list(outputs), handleInvalid="keep")
+def _indexers(values: Mapping[str, list[str]], outputs: Mapping[str, str]) -> list[StringIndexerModel]:
+    """One model a column: a shared one would fill up shorter lists with nulls."""
+    return [StringIndexerModel.from_labels(values[c], c, out, handleInvalid="keep") for c, out in outputs.items()]
 
 
 def category_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -115,9 +115,9 @@ def fit_one_hot(
     A value not seen in the fit, null included, becomes the zero vector.
     """
     known = known or summarise(df, columns, max_categories=max_categories)
-    index = _indexer(known.values, columns, [f"{c}_index" for c in columns])
-    encode = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}_vec" for c in columns], dropLast=True)
-    return Pipeline(stages=[index, encode]).fit(df.select(*columns))
+    places = {c: f"{c}_index" for c in columns}
+    encode = OneHotEncoder(inputCols=list(places.values()), outputCols=[f"{c}_vec" for c in columns], dropLast=True)
+    return Pipeline(stages=[*_indexers(known.values, places), encode]).fit(df.select(*columns))
 
 
 def one_hot(df: DataFrame, model: PipelineModel, columns: Sequence[str] = tuple(NOMINAL)) -> DataFrame:
@@ -194,12 +194,11 @@ def fit_training_features(
         f"AS `{c}_text`"
         for c in texts
     )
-    coded = [f"{c}_text" for c in texts]
     fill = [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")] if texts else []
-    known = summarise(fill[0].transform(df) if fill else df, coded, max_categories=max_categories)
+    known = summarise(fill[0].transform(df) if fill else df, [f"{c}_text" for c in texts], max_categories=max_categories)
     rows = known.rows
-    index = _indexer(known.values, coded, [f"{c}_index" for c in texts])
-    encode = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}_vec" for c in texts], dropLast=True)
+    places = {f"{c}_text": f"{c}_index" for c in texts}
+    encode = OneHotEncoder(inputCols=list(places.values()), outputCols=[f"{c}_vec" for c in texts], dropLast=True)
     gather = VectorAssembler(inputCols=numbers, outputCol="numbers", handleInvalid=invalid)
     shrink = math.sqrt(rows / (rows - 1)) if rows > 1 else 1.0
     spread = StandardScaler(inputCol="numbers", outputCol="numbers_sample", withMean=True, withStd=True)
@@ -207,5 +206,5 @@ def fit_training_features(
         inputCol="numbers_sample", outputCol="numbers_scaled", scalingVec=Vectors.dense([shrink] * len(numbers))
     )
     join = VectorAssembler(inputCols=[*encode.getOutputCols(), "numbers_scaled"], outputCol="features")
-    stages = [*fill, index, encode] if texts else []
+    stages = [*fill, *_indexers(known.values, places), encode] if texts else []
     return Pipeline(stages=[*stages, gather, spread, factor, join]).fit(df)

@@ -23,25 +23,43 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def confusion(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    """tn, fp, fn, tp in one pass."""
+def confusion_cells(truth: Column, predicted: Column, unscored: bool = False) -> list[Column]:
+    """tn, fp, fn, tp as aggregates; with ``unscored`` also the rows in none of them, for a null or another value."""
 
     def cell(actual: int, guess: int) -> Column:
-        return F.count_if((F.col(truth) == actual) & (F.col(predicted) == guess))
+        return F.count_if((truth == actual) & (predicted == guess))
 
     cells = {"tn": cell(0, 0), "fp": cell(0, 1), "fn": cell(1, 0), "tp": cell(1, 1)}
-    return df.groupBy(*by).agg(*[c.alias(name) for name, c in cells.items()])
+    if unscored:
+        cells["unscored"] = F.count_if(~F.coalesce(truth.isin(0, 1) & predicted.isin(0, 1), F.lit(False)))
+    return [c.alias(name) for name, c in cells.items()]
+
+
+def confusion(
+    df: DataFrame, truth: str, predicted: str, by: Sequence[str] = (), unscored: bool = False
+) -> DataFrame:
+    """tn, fp, fn, tp in one pass."""
+    return df.groupBy(*by).agg(*confusion_cells(F.col(truth), F.col(predicted), unscored))
 
 
-def binary_metrics(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+def binary_metrics(
+    df: DataFrame, truth: str, predicted: str, by: Sequence[str] = (), unscored: bool = False
+) -> DataFrame:
     """Confusion cells with accuracy, precision, recall and F1 (0 where undefined).
 
-    ``hard_auc`` is the ROC-AUC of the predicted labels, null when a class is absent.
+    ``hard_auc`` is the ROC-AUC of the predicted labels, null when a class is absent. Rows in no cell are in no
+    metric; ``unscored`` adds their number.
     """
+    tail = ["unscored"] if unscored else []
+    return ratios(confusion(df, truth, predicted, by, unscored), [*by], tail)
+
+
+def ratios(cells: DataFrame, by: Sequence[str] = (), tail: Sequence[str] = ()) -> DataFrame:
+    """The metrics beside their cells."""
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     recall = F.try_divide(tp.cast("double"), (tp + fn).cast("double"))
     specificity = F.try_divide(tn.cast("double"), (tn + fp).cast("double"))
-    return confusion(df, truth, predicted, by).select(
+    return cells.select(
         *by,
         *["tn", "fp", "fn", "tp"],
         ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
@@ -49,6 +67,7 @@ def binary_metrics(df: DataFrame, truth: str, predicted: str, by: Sequence[str]
         ratio(tp, tp + fn).alias("recall"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
         ((recall + specificity) / 2).alias("hard_auc"),
+        *tail,
     )
 
 

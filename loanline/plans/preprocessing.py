@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType
 
 from loanline.operators.cleaning import prepare, unit_cleanup
 from loanline.operators.encoding import (
@@ -20,7 +21,7 @@ from loanline.operators.encoding import (
 )
 from loanline.operators.incremental import new_records
 from loanline.schemas import KEYS, NOMINAL
-from loanline.sources.models import load_model, save_model
+from loanline.sources.models import load_model, read_note, save_model, save_note
 from loanline.sources.tables import append, exists, overwrite, project_features, scan
 
 # Row-wise steps in order; the last two steps of a load need a fit and are in Preprocessor.
@@ -41,36 +42,67 @@ def run_steps(df: DataFrame, enabled: Mapping[str, bool] | None = None) -> DataF
 
 @dataclass
 class Preprocessor:
-    """Fitted one-hot and scaling models."""
+    """Fitted one-hot and scaling models, and the steps that are switched off.
 
-    nominal: PipelineModel
-    scaler: PipelineModel
+    Text columns that no step encodes stay out of the vector and are kept beside it. Without "scaling" there is no
+    vector, the encoded columns stay.
+    """
+
+    nominal: PipelineModel | None
+    scaler: PipelineModel | None
+    enabled: Mapping[str, bool] = field(default_factory=dict)
 
     @staticmethod
-    def fit(raw: DataFrame, invalid: str = "error", impute: str | None = None) -> Preprocessor:
+    def fit(
+        raw: DataFrame,
+        invalid: str = "error",
+        impute: str | None = None,
+        enabled: Mapping[str, bool] | None = None,
+    ) -> Preprocessor:
         """Fit on projected raw rows.
 
         Two passes: one for the categories and the fills, one for the moments. The cleaned rows are not kept: each
         pass reads only the columns it needs, and cleaning costs less than storing a large table again.
         """
-        cleaned = run_steps(raw)
+        steps = dict(enabled or {})
+        with_nominal, with_scaler = steps.get("one_hot", True), steps.get("scaling", True)
+        cleaned = run_steps(raw, steps)
         inputs = [c for c in cleaned.columns if c not in (*KEYS, "label")]
-        known = summarise(cleaned, NOMINAL, numeric_columns(cleaned, inputs) if impute else (), impute)
-        nominal = fit_one_hot(cleaned, known=known)
-        scaler = fit_scaler(one_hot(cleaned, nominal), invalid=invalid, impute=impute, known=known)
-        return Preprocessor(nominal, scaler)
+        gaps = numeric_columns(cleaned, inputs) if impute and with_scaler else ()
+        known = summarise(cleaned, NOMINAL if with_nominal else (), gaps, impute) if with_nominal or gaps else None
+        nominal = fit_one_hot(cleaned, known=known) if with_nominal else None
+        coded = one_hot(cleaned, nominal) if nominal else cleaned
+        scaler = None
+        if with_scaler:
+            exclude = (*KEYS, "label", *_texts(coded))
+            scaler = fit_scaler(coded, exclude, invalid=invalid, impute=impute, known=known)
+        return Preprocessor(nominal, scaler, steps)
 
     def apply(self, raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         """Keys, feature vector and label; one projection, no shuffle."""
-        return scale(one_hot(run_steps(raw), self.nominal), self.scaler, keys)
+        rows = run_steps(raw, self.enabled)
+        rows = one_hot(rows, self.nominal) if self.nominal else rows
+        if self.scaler is None:
+            return rows.select(*keys, *[c for c in rows.columns if c not in KEYS])
+        return scale(rows, self.scaler, [*keys, *[c for c in _texts(rows) if c not in keys]])
 
     def save(self, path: str) -> None:
-        save_model(self.nominal, f"{path}/nominal")
-        save_model(self.scaler, f"{path}/scaler")
+        for name, model in (("nominal", self.nominal), ("scaler", self.scaler)):
+            if model:
+                save_model(model, f"{path}/{name}")
+        save_note(SparkSession.active(), dict(self.enabled), f"{path}/switches")
 
     @staticmethod
     def load(path: str) -> Preprocessor:
-        return Preprocessor(load_model(f"{path}/nominal"), load_model(f"{path}/scaler"))
+        steps = read_note(SparkSession.active(), f"{path}/switches")
+        nominal = load_model(f"{path}/nominal") if steps.get("one_hot", True) else None
+        return Preprocessor(nominal, load_model(f"{path}/scaler") if steps.get("scaling", True) else None, steps)
+
+
+def _texts(df: DataFrame) -> list[str]:
+    """Text columns other than keys and label."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    return [c for c in texts if c not in (*KEYS, "label")]
 
 
 def full_load(raw: DataFrame, target: str, model_path: str, keys: Sequence[str] = (), **fit: str) -> int:

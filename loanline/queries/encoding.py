@@ -69,6 +69,22 @@ def feature_vectors_complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame
     return spread(Preprocessor.fit(rows, invalid="skip").apply(rows, ["id"]), ["id", "label"])
 
 
+def preprocess_unscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps but scaling: codes, vectors and numbers as they are, the switches saved and read back."""
+    folder, rows = work_folder(spark, "transforms"), _feature_rows(spark, sf_dir)
+    Preprocessor.fit(rows, enabled={"scaling": False}).save(folder)
+    found = Preprocessor.load(folder).apply(rows, ["id"])
+    slot = (F.array_position(vector_to_array("purpose_vec"), 1.0) - 1).alias("purpose_slot")
+    return found.select("id", *ORDINAL_CATEGORIES, *NUMBERS, "monthly_income", "label", slot)
+
+
+def preprocess_without_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps but one-hot: the nominal texts stay beside the vector of codes and numbers."""
+    rows = _feature_rows(spark, sf_dir)
+    found = Preprocessor.fit(rows, impute="mean", enabled={"one_hot": False}).apply(rows, ["id"])
+    return spread(found, ["id", "label", "purpose"])
+
+
 def saved_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted on loans loaded earlier, saved, read back and applied to all loans."""
     folder = work_folder(spark, "transforms")
@@ -152,7 +168,7 @@ def scaled_sql(keys: list[str], fit_where: str, impute: bool, where: str = "") -
         cleaned=CLEANED,
         coded=f"SELECT id, start_date, end_date, {ORDINALS}, {numbers}, {nominal}, label, monthly_income FROM cleaned",
         fitted=f"SELECT * FROM coded WHERE {fit_where}",
-        every=f"SELECT id, start_date, end_date, label, {numeric} FROM coded",
+        every=f"SELECT id, start_date, end_date, purpose, label, {numeric} FROM coded",
         early="SELECT e.* FROM every e WHERE id IN (SELECT id FROM fitted)",
         moments=f"SELECT {moments} FROM early",
     )
@@ -211,6 +227,20 @@ FROM loans l LEFT JOIN purposes p ON l.purpose = p.value LEFT JOIN jobs j ON l.j
         feature_vectors_complete_rows,
         scaled_sql(["id"], "monthly_income IS NOT NULL", False, "WHERE monthly_income IS NOT NULL"),
     ),
+    "preprocess_unscaled": (
+        preprocess_unscaled,
+        oracle(
+            f"""SELECT id, {ORDINALS}, {", ".join(NUMBERS)}, monthly_income, label, p."index" AS purpose_slot
+FROM cleaned JOIN purposes p ON purpose = p.value""",
+            "loans",
+            cleaned=CLEANED,
+            purposes=_index_sql("purpose", "loans").replace(" AS INTEGER)", " AS BIGINT)"),
+        ),
+    ),
+    "preprocess_without_one_hot": (
+        preprocess_without_one_hot,
+        f"SELECT id, label, purpose, {', '.join(_SCALED)} FROM ({scaled_sql(['id', 'purpose'], 'TRUE', True)}) q",
+    ),
     "saved_transforms": (saved_transforms, scaled_sql(["id"], EARLY, True)),
     "incremental_preprocessing": (
         incremental_preprocessing,

@@ -31,6 +31,12 @@ def confusion_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.binary_metrics(scores(spark, sf_dir), "y_true", "y_pred", ["lang", "source"])
 
 
+def confusion_unscored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has no prediction: it is in no cell and counted."""
+    rows = scores(spark, sf_dir).withColumn("y_pred", F.when(F.col("id") % 7 > 0, F.col("y_pred")))
+    return metrics.binary_metrics(rows, "y_true", "y_pred", ["lang"], unscored=True)
+
+
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.roc_auc(scores(spark, sf_dir), "y_true", "score")
 
@@ -186,6 +192,17 @@ QUERIES = {
             cells=_confusion_sql(""),
         ),
     ),
+    "confusion_unscored": (
+        confusion_unscored,
+        oracle(
+            f"SELECT c.*, {_RATIOS}, {_HARD} FROM cells c",
+            "scores",
+            missing="SELECT * REPLACE (CASE WHEN id % 7 > 0 THEN y_pred END AS y_pred) FROM scores",
+            cells=_confusion_sql("lang").replace(
+                "FROM scores", ", count(*) FILTER (WHERE y_pred IS NULL) AS unscored FROM missing"
+            ),
+        ),
+    ),
     "confusion_by_group": (
         confusion_by_group,
         oracle(f"SELECT *, {_RATIOS}, {_HARD} FROM cells", "scores", cells=_confusion_sql("lang, source")),
