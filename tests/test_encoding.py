@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loanline.operators.splitting import stratified_split
 from loanline.operators.encoding import (
+    Summary,
     category_index,
     fit_one_hot,
     fit_scaler,
@@ -16,6 +17,7 @@ from loanline.operators.encoding import (
     one_hot,
     scale,
     slot_names,
+    summarise,
 )
 from loanline.operators.hyperparams import zip_params
 
@@ -101,3 +103,23 @@ def test_rows_without_a_label_are_split_like_others(spark):
     df = spark.range(500).selectExpr("id", "if(id < 250, NULL, 1) AS label")
     sizes = stratified_split(df, "label", "id").groupBy("label", "split").count().collect()
     assert {(r.label, r.split): r["count"] for r in sizes} == {(None, "test"): 50, (None, "train"): 200, (1, "test"): 50, (1, "train"): 200}
+
+
+def test_columns_with_different_numbers_of_categories(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", None), (None, "x")], "v string, w string")
+    found = one_hot(df, fit_one_hot(df, ["v", "w"]), ["v", "w"])
+    slots = [(list(r[0]), list(r[1])) for r in found.select(vector_to_array("v_vec"), vector_to_array("w_vec")).collect()]
+    assert slots == [([0.0, 1.0], [1.0]), ([1.0, 0.0], [1.0]), ([1.0, 0.0], [0.0]), ([0.0, 0.0], [1.0])]
+
+
+def test_summary_in_one_scan(spark):
+    rows = [("a", 1, 1.0), ("b", 2, None), ("b", None, float("nan")), (None, 6, 4.0)]
+    df = spark.createDataFrame(rows, "v string, n int, x double")
+    found = summarise(df, ["v"], ["n", "x"], "mean")
+    assert found == Summary(4, {"v": ["b", "a"]}, {"n": 3.0, "x": 2.5})
+    assert summarise(df, ["v"], max_categories=2).values == {"v": ["b", "a"]}
+    with pytest.raises(ValueError, match="too many distinct values"):
+        summarise(df, ["v"], max_categories=1)
+    assert summarise(df.limit(0), ["v"], ["n"], "mean") == Summary(0, {"v": []}, {"n": None})
+    with pytest.raises(ValueError, match="no value to fill"):
+        fit_scaler(df.select(F.lit(None).cast("double").alias("x"), "n"), impute="median")

@@ -104,3 +104,11 @@ def test_rows_of_a_hot_key_stay_together(spark):
     assert found.count() == 3000
     assert found.filter("id = -1").select("split").distinct().count() == 1
     assert found.select("split").distinct().count() == 2
+
+
+def test_rows_without_a_label_or_prediction_are_counted(spark):
+    rows = [(1, 1), (0, 1), (None, 1), (1, None), (2, 0), (0, 0)]
+    df = spark.createDataFrame(rows, "y int, p int")
+    found = binary_metrics(df, "y", "p", unscored=True).first()
+    assert (found.tn, found.fp, found.fn, found.tp, found.unscored) == (1, 1, 0, 1, 3)
+    assert "unscored" not in binary_metrics(df, "y", "p").columns
