@@ -181,8 +181,9 @@ class Reader:
             for part in np.array_split(at, -(-len(at) // 20_000)):
                 x = np.frombuffer(b"".join(pieces[i][1] for i in part), np.uint8).reshape(-1, length)
                 np.add.at(sums, owner[part], labels_of(self.model, x)[0].sum(0))
-        self.sums = np.concatenate([self.sums, sums])
-        self.positions = np.concatenate([self.positions, np.bincount(owner, weights=lengths, minlength=len(runs))])
+        spelt = np.fromiter((any(map(str.isalpha, run)) for run in runs), np.bool_, len(runs))  # not of numerals alone
+        self.sums = np.concatenate([self.sums, sums * spelt[:, None]])
+        self.positions = np.concatenate([self.positions, np.bincount(owner, weights=lengths, minlength=len(runs)) * spelt])
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         found = [LETTERS.findall(t or "") for t in texts]
@@ -197,11 +198,12 @@ class Reader:
         names, scores = [], []
         for runs in found:
             ids = np.fromiter(map(self.numbers.__getitem__, runs), np.int64, len(runs))
-            if not len(ids):
+            positions = self.positions[ids].sum()
+            if not positions:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            mean = self.sums[ids].sum(0) / self.positions[ids].sum()
+            mean = self.sums[ids].sum(0) / positions
             names.append(self.model.names[int(mean.argmax())])
             scores.append(float(min(1.0, mean.max())))
         return names, scores
@@ -220,10 +222,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     marked = usable.withColumn("__hash", F.xxhash64(F.col(f"`{doc_id}`"), body)).withColumn("__lang", name)
     sample = (
         marked.join(F.broadcast(chosen), ["__lang", "__hash"], "left_semi")  # SAMPLE rows of each language
-        .select(F.col("__lang").alias("lang"), "__hash", body.alias("text"))
+        .groupBy(F.col("__lang").alias("lang"), "__hash")
+        .agg(F.min(body).alias("text"))  # repeated rows once
         .toPandas()
-        .drop_duplicates()
-        .sort_values(["lang", "__hash", "text"])
+        .sort_values(["lang", "__hash"])
     )
     return fit(sample["text"].tolist(), sample["lang"].astype(str).tolist())
 

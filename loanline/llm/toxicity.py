@@ -262,7 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A model from labelled rows whose fold is not 0; None if there is none.
 
     Fitted on the SAMPLE labelled ids of each class whose hash is least, as far as their texts have at most
-    SAMPLE_CHARS characters. An id with several labels counts as toxic if one of them says so.
+    SAMPLE_CHARS characters. An id with several labels counts as toxic if one of them says so; of several texts of an
+    id the least is fitted on.
     """
     marks = (
         labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (fold_of(doc_id) != 0))
@@ -276,10 +277,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = (
         docs.filter(body.isNotNull() & (F.length(body) <= SAMPLE_CHARS))
         .join(F.broadcast(chosen), F.col(f"`{doc_id}`") == F.col("__id"))  # at most 2 * SAMPLE rows
-        .select(F.col("__id").alias("id"), F.col("__toxic").alias("toxic"), body.alias("text"))
+        .groupBy(F.col("__id").alias("id"), F.col("__toxic").alias("toxic"))
+        .agg(F.min(body).alias("text"))  # however many rows have the id
         .toPandas()
-        .drop_duplicates()
-        .sort_values(["id", "text"])
+        .sort_values("id")
     )
     return fit(sample["text"].tolist(), sample["toxic"].to_numpy(np.int64))
 

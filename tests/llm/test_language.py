@@ -36,12 +36,12 @@ def test_labels_do_not_depend_on_what_was_read_before():
 
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    more = spark.createDataFrame([(90001, None, "en"), (90002, "", "en"), (90003, "123 !!", "de"), (None, "the thing of that", None), (90004, "the and " * 100000, None)], "doc_id long, text string, lang string")
+    more = spark.createDataFrame([(90001, None, "en"), (90002, "", "en"), (90003, "123 !!", "de"), (90005, "\u00bd \u2167 \u00b2", None), (None, "the thing of that", None), (90004, "the and " * 100000, None)], "doc_id long, text string, lang string")
     both = docs.select("doc_id", "text", "lang").unionByName(more).withColumn("score", F.lit("clash"))
     rows = identify(both).collect()
     assert len(rows) == both.count() and all(0 <= r.score <= 1 for r in rows)
     by_id = {r.doc_id: r for r in rows}
-    assert [by_id[i].lang_pred for i in (90001, 90002, 90003)] == ["und"] * 3 and by_id[90004].lang_pred == "en" == by_id[None].lang_pred
+    assert [by_id[i].lang_pred for i in (90001, 90002, 90003, 90005)] == ["und"] * 4 and by_id[90004].lang_pred == "en" == by_id[None].lang_pred
     truth = {r.doc_id: r.lang for r in docs.collect()}
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     right = sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held)
