@@ -107,14 +107,14 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             F.regexp_replace(F.expr("substring(text, cast(f.start as int), cast(f.length as int))"), "\n[\\x20\\x09\\x0B-\\x0D]*(?=\n)", "").alias("bytes"),
         )
     )
-    owned = pieces.filter("own").groupBy("hash").agg(F.collect_set("bytes").alias("owned"))
+    # Equal bytes are reduced before the shuffle, so a passage that very many documents have is no hot key.
+    unowned = pieces.groupBy("hash", "bytes").agg(F.max("own").alias("owned")).filter("not owned").select("hash", "bytes")
     differing = (
-        pieces.filter("not own")
-        .join(owned, "hash")
-        .filter(~F.array_contains("owned", F.col("bytes")))
+        pieces.join(stored(unowned, "line-variants"), ["hash", "bytes"])
         .groupBy(F.col("row").alias("__of"))
         .agg(F.collect_set(F.struct("low", "high")).alias("__differing"))
     )
+    differing = stored(differing, "line-differing")  # nearly always none, so Spark need not shuffle the texts for it
     checked = joined.join(differing, F.col("__row") == F.col("__of"), "left").drop("__of")
 
     gone = F.filter(
