@@ -36,5 +36,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write as a columnar table in the shared folder and read it back: computed once, pruned by column."""
     path = work_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
