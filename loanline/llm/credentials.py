@@ -1,7 +1,8 @@
 """Secret scans, with corpus-wide ownership of what they find.
 
 Candidates are found in every text; their hashes are counted by distinct repositories and owners over the whole corpus.
-A value that many owners have is a copied example; one that few have looks like a live credential of theirs.
+A value that many owners have, or that lies in many repositories of few, is a copied example; any other looks like a
+live credential of its owners.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from loanline.sources.folders import stored
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Kinds that this scan adds, if few owners have the value.
+#: Kinds that this scan adds, if the value is not a copied example.
 ADDED = {
     "bearer": re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9+/_.=-]{20,})"),
     "login": re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]{8,128})@"),
@@ -30,6 +31,8 @@ ADDED = {
 KINDS = ["assign", "access", "hex", *ADDED]
 #: Owners from which on a value counts as a widely copied example.
 COPIED = 3
+#: Repositories from which on it counts as one, however few owners they have: a live credential is kept in few places.
+COPIED_REPOSITORIES = 10
 
 
 def candidates(text: str) -> list[tuple[str, int, int, str]]:
@@ -80,14 +83,22 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan_secrets(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source", copied: int = COPIED
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    repository: str = "doc_id",
+    owner: str = "source",
+    copied: int = COPIED,
+    copied_repositories: int = COPIED_REPOSITORIES,
 ) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied): a row for each row of ``docs``.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_repositories): a row for each row of ``docs``.
 
     The three base kinds are always reported; a candidate of an added kind is reported if fewer than ``copied`` owners
-    have its value. ``spans`` lists kind:start:end (code points, end exclusive) by start, then kind. ``n_live`` and
-    ``n_copied`` count the spans by that same test. Values leave a task as SHA-256 only. A null text is empty; repeated
-    rows are scanned alike and add no owner; a null owner is an owner of its own; other columns are ignored.
+    and fewer than ``copied_repositories`` repositories have its value. ``spans`` lists kind:start:end (code points, end
+    exclusive) by start, then kind. ``n_live`` and ``n_copied`` count the spans by that same test; ``n_repositories`` is
+    that of the row's most spread candidate, reported or not (0: none). Values leave a task as SHA-256 only. A null text
+    is empty; repeated rows are scanned alike and add no owner and no repository; a null owner or repository is one of
+    its own; other columns are ignored.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(
@@ -102,14 +113,15 @@ def scan_secrets(
         rows.mapInArrow(_scan, f"doc_id {kind}, row string, repository string, owner string, base_sha256 string, {fields}"), "secrets"
     )
     each = scanned.select("row", "repository", "owner", F.explode("found").alias("f")).select("row", "repository", "owner", "f.*")
-    judged = each.join(ownership(each), "value").withColumn("live", F.col("n_owners") < copied)
+    judged = each.join(ownership(each), "value").withColumn(
+        "live", (F.col("n_owners") < copied) & (F.col("n_repositories") < copied_repositories)
+    )
     added = F.col("kind") >= KINDS.index(next(iter(ADDED)))
     names = F.array(*[F.lit(k) for k in KINDS])
     reported = (
-        judged.filter(~added | F.col("live"))
-        .select("row", F.struct("start", "kind", "end", "live").alias("span"))
+        judged.select("row", "n_repositories", F.when(~added | F.col("live"), F.struct("start", "kind", "end", "live")).alias("span"))
         .groupBy("row")
-        .agg(F.sort_array(F.collect_set("span")).alias("all"))
+        .agg(F.sort_array(F.collect_set("span")).alias("all"), F.max("n_repositories").alias("n_repositories"))
     )
     joined = scanned.join(reported, "row", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")))
     shown = F.transform(F.col("all"), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
@@ -121,4 +133,5 @@ def scan_secrets(
         F.array_join(shown, ",").alias("spans"),
         count(lambda s: s["live"]).alias("n_live"),
         count(lambda s: ~s["live"]).alias("n_copied"),
+        F.coalesce("n_repositories", F.lit(0).cast("long")).alias("n_repositories"),
     )

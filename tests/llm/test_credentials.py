@@ -57,5 +57,19 @@ def test_ownership_decides_on_added_spans(spark):
     assert {r.n_copied for r in scan_secrets(frame, copied=1).collect() if r.doc_id == 2} == {3}
 
 
+def test_repositories_decide_within_one_owner(spark):
+    shared, own = "Bearer samplesamplesamplesample01", "Bearer ownownownownownownown99"
+    rows = [(i, f"{shared} {own}" if i < 9 else shared, "hot") for i in range(12)] + [(0, f"{shared} {own}", "hot")] * 5 + [(20, None, "hot")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by_id = {r.doc_id: r for r in scan_secrets(frame).collect()}
+    live = f"bearer:{len(shared) + 1}:{len(shared) + 1 + len(own)}"
+    assert {r.spans for d, r in by_id.items() if d < 9} == {live} and by_id[0].n_live == 1  # nine documents have it
+    assert by_id[10].spans == "" and by_id[10].n_live == by_id[10].n_copied == 0
+    assert by_id[0].n_repositories == by_id[10].n_repositories == 12 and by_id[20].n_repositories == 0
+    assert all("bearer:0:" in r.spans for r in scan_secrets(frame, copied_repositories=13).collect() if r.doc_id < 12)
+    named = frame.withColumn("repo", frame.doc_id % 2)  # two repositories of one owner
+    assert {r.n_repositories for r in scan_secrets(named, repository="repo").collect() if r.doc_id < 12} == {2}
+
+
 def test_empty(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
