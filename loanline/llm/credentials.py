@@ -24,8 +24,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Kinds that this scan adds, if the value is not a copied example.
 ADDED = {
     "bearer": re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9+/_.=-]{20,})"),
-    "login": re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]{8,128})@"),
-    "pem": re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----([A-Za-z0-9+/=\s]{40,})"),
+    "login": re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:([^\s/@]{8,})@"),
+    "pem": re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*+[A-Za-z0-9-]++:[^\n]*+\n)*+([A-Za-z0-9+/=\s]{40,})"),
     "prefixed": re.compile(r"\b((?:gh[pousr]_|sk-|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,})"),
 }
 KINDS = ["assign", "access", "hex", *ADDED]
