@@ -102,6 +102,41 @@ def test_tree_is_exact():
     assert total.tolist() == quotas.tolist() and {int(p["quota"].sum()) for p in parts} <= {225, 226}
 
 
+def test_plan_in_tables_beyond_the_bound(spark):
+    rows = sized(frame_of(spark, fixture()))
+    columns = ["__source", "source_size", "target", "passes", "rest", "cut", "part"]
+    for weigh in (repeating(), lambda names: [(3, 1, 2)[i % 3] for i in range(len(names))]):
+        for share in (1.5, 0.3, 9.0):
+            held, tables = (plan_mix(rows, weigh, share, shard_words=20_000, max_sources=m) for m in (10_000, 3))
+            assert held.few and not tables.few and held.shards == tables.shards
+            one, other = (sorted(tuple(r) for r in p.sources.select(columns).collect()) for p in (held, tables))
+            assert [r[:2] + r[3:] for r in one] == [r[:2] + r[3:] for r in other]
+            assert [r[2] for r in one] == pytest.approx([r[2] for r in other])
+    held, tables = (plan_mix(rows, repeating(), shard_words=20_000, max_sources=m) for m in (10_000, 3))
+    taken = ["n", "pass", "words"]
+    one, other = (sorted(tuple(r) for r in mixed(rows, p).select(taken).collect()) for p in (held, tables))
+    assert one == other
+    draws = tables.draws.collect()
+    assert len(draws) == tables.n_draws == len({(r["__source"], r["pass"], r["block"]) for r in draws})
+    per_shard = Counter(r.shard for r in draws)
+    assert len(per_shard) == tables.shards and max(per_shard.values()) - min(per_shard.values()) <= math.log2(tables.shards) + 1
+
+
+def test_more_sources_than_the_bound(spark):
+    docs = spark.range(10_500).selectExpr("id AS doc_id", "repeat('w ', cast(id % 7 AS int)) AS text", "concat('site', id % 10100) AS source")
+    got = mix_summary(docs).collect()
+    assert len(got) == 10_500
+    words, want, taken = Counter(), {}, Counter()
+    for r in got:
+        name = f"site{r.doc_id % 10_100}"
+        words[name] += r.size
+        taken[name] += r.taken
+        want[name] = r.target
+    names = sorted(words)
+    assert [want[n] for n in names] == pytest.approx(targets([words[n] for n in names], repeating()(names), 1.5, 2.0))
+    assert all(taken[n] == math.floor(want[n] + 0.5) for n in names)
+
+
 def test_rows_of_the_mix(spark):
     rows = fixture()[:405]
     frame = frame_of(spark, rows)
