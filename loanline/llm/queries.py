@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanline.llm import chat, credentials, decontamination, language, lines, mixing, quality, simhash, tokens, toxicity
+from loanline.llm import (
+    audit,
+    chat,
+    credentials,
+    decontamination,
+    language,
+    lines,
+    mixing,
+    private,
+    quality,
+    simhash,
+    spelling,
+    tokens,
+    toxicity,
+)
 from loanline.llm.text import table
 
 
@@ -30,6 +43,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the vocabularies are needed here alone
+
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -63,6 +78,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.find_private(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -74,6 +101,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_pii": op13_pii,
 }
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -167,9 +197,62 @@ placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key ROWS UNBOU
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
     CAST(passes * size + greatest(0, least(size, rest - ahead)) AS BIGINT) AS taken FROM placed"""
 
+# crc32 bit by bit; near words by what is left when one code point goes.
+SPELLING = rf"""
+WITH RECURSIVE run AS (
+    SELECT concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ':') AS name, w, count(*) AS k
+    FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) GROUP BY 1, 2),
+bytes AS (SELECT w, k, flatten([CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END
+    FOR c IN string_split(name || w, '')]) AS b FROM run),
+hashed AS (SELECT w, k, xor(4294967295, list_reduce(list_prepend(4294967295, b),
+    lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1))))) AS h FROM bytes),
+spelled AS (SELECT CASE WHEN h % 199 = 0 THEN concat(left(w, CAST(h % length(w) AS BIGINT)), substring(w, CAST(h % length(w) AS BIGINT) + 2))
+    ELSE w END AS word, k FROM hashed),
+vocab AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelled WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+less AS MATERIALIZED (SELECT word, n, i, concat(left(word, i - 1), substring(word, i + 1)) AS rest
+    FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT less.word, vocab.word, vocab.n FROM less JOIN vocab ON less.rest = vocab.word
+    UNION SELECT vocab.word, less.word, less.n FROM less JOIN vocab ON less.rest = vocab.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+    FROM vocab LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS root FROM formed
+    UNION ALL SELECT path.word, form FROM path JOIN formed ON root = formed.word WHERE form IS NOT NULL)
+SELECT formed.word, formed.form, root, formed.n, formed.n_near, formed.form_n
+FROM formed JOIN path USING (word) JOIN formed AS last ON root = last.word WHERE last.form IS NULL"""
+
+FILTER_AUDIT = rf"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, {_WORDS} AS w FROM documents),
+least AS (SELECT text, min(doc_id) AS least FROM doc GROUP BY text),
+marked AS (SELECT part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(least < doc_id, false)::INT AS bits,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+    FROM doc JOIN least USING (text)),
+counted AS (SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM marked GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT concat(a.l, b.l, c.l, d.l, e.l) AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+step AS (SELECT filter_order, CAST(k AS INT) AS step, [(1 << (ascii(x) - 65)) FOR x IN string_split(filter_order, '')] AS every,
+    every[k] AS bit, CAST(coalesce(list_sum(every[1:k - 1]), 0) AS INT) AS before FROM orders, range(1, 6) AS r(k)),
+taken AS (SELECT part, filter_order, step, bit,
+    sum(CASE WHEN bits & (bit | before) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN bits & bit > 0 AND bits & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN bits & bit > 0 AND bits & before > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN bits = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN bits & bit > 0 AND bits & before = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN bits & bit > 0 AND bits & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM counted, step GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM taken"""
+
 ORACLE = {
     "op1_mixing": MIXING,
     "op2_quality": QUALITY,
     "op7_line_dedup": LINE_DEDUP,
     "op9_decontamination": DECONTAMINATION,
+    "op11_spelling": SPELLING,
+    "op12_filter_audit": FILTER_AUDIT,
 }
