@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanline.llm.text import raw_bytes, row_key, steps, word_spans
+from loanline.llm.text import apart, raw_bytes, row_key, steps, word_spans
 from loanline.sources.folders import stored
 
 SPAN = 13
@@ -253,7 +253,12 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns as they are."""
-    dirty = contamination(docs, benchmark, doc_id, text).filter("contaminated").select(F.col("row").alias("__dirty")).distinct()
-    marked = docs.withColumn("__row", row_key(doc_id, text))
-    return marked.join(dirty, F.col("__row") == F.col("__dirty"), "left_anti").drop("__row")
+    """The rows of ``docs`` that are not contaminated, all columns as they are, whatever their names.
+
+    Null and wordless texts stay, repeated rows stay or go together, texts may be of any length; an empty benchmark
+    takes nothing.
+    """
+    inner, (doc_id, text) = apart(docs, doc_id, text)
+    dirty = contamination(inner, benchmark, doc_id, text).filter("contaminated").select(F.col("row").alias("__dirty")).distinct()
+    marked = inner.withColumn("__row", row_key(doc_id, text))
+    return marked.join(dirty, F.col("__row") == F.col("__dirty"), "left_anti").drop("__row").toDF(*docs.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanline.llm.text import BLANK, row_key
+from loanline.llm.text import BLANK, apart, row_key
 from loanline.sources.folders import stored
 
 MIN_WORDS = 50
@@ -150,11 +150,13 @@ def drop_repeats(
 ) -> DataFrame:
     """``docs`` with repeated chunks removed from ``text``, without the rows that this leaves with no word.
 
-    ``count`` names a column with the length of the text, which follows it where lines were removed.
+    ``count`` names a column with the length of the text, which follows it where lines were removed. Nulls, empty texts
+    and repeated rows as in ``without_repeats``; rows without words before stay; columns may have any names.
     """
-    out = without_repeats(docs, doc_id, text, min_words)
-    if count:
-        own = F.col(f"`{count}`")
-        out = out.withColumn(count, F.when(F.col("__removed") > 0, F.length(f"`{text}`").cast(docs.schema[count].dataType)).otherwise(own))
-    left = (F.col("__removed") == 0) | F.col(f"`{text}`").rlike(f"[^{BLANK}]")
-    return out.filter(left).select(*[f"`{c}`" for c in docs.columns])
+    inner, (doc_id, text, length) = apart(docs, doc_id, text, count)
+    out = without_repeats(inner, doc_id, text, min_words)
+    if length:
+        anew = F.length(text).cast(docs.schema[count].dataType)
+        out = out.withColumn(length, F.when(F.col("__removed") > 0, anew).otherwise(F.col(length)))
+    left = (F.col("__removed") == 0) | F.col(text).rlike(f"[^{BLANK}]")
+    return out.filter(left).select(*inner.columns).toDF(*docs.columns)

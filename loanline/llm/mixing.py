@@ -280,6 +280,10 @@ def mixed(rows: DataFrame, plan: Plan) -> DataFrame:
     return dealt.withColumn("place", place).drop("__key", "block")
 
 
+#: Columns that a mix adds.
+MIXED = ("mix_shard", "mix_place", "mix_pass", "mix_words")
+
+
 def repeating(pattern: tuple[float, ...] = (3, 1, 2)):
     """Weights by the order of the sources, repeating a pattern."""
 
@@ -311,8 +315,11 @@ def mix_summary(docs: DataFrame, weigh=None, doc_id: str = "doc_id", text: str =
 def mix(docs: DataFrame, weigh=None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of the mix: the columns of ``docs`` and mix_shard, mix_place, mix_pass and mix_words, each shard in its order.
 
-    The cut row of a source has its first words, joined by single spaces, as its text.
+    The cut row of a source has its first words, joined by single spaces, as its text. Rows without words (null and
+    empty texts among them) are in no mix; texts may be of any length; an empty table gives no rows. Columns of an
+    earlier mix are given anew, all others may have any names.
     """
+    docs = docs.drop(*MIXED)
     plan = plan_mix(sized(docs, doc_id, text, source), weigh or repeating())
     body = F.col(f"`{text}`")
     rows = docs.select(
@@ -324,6 +331,6 @@ def mix(docs: DataFrame, weigh=None, doc_id: str = "doc_id", text: str = "text",
     own = F.col("__doc").getField(text)
     cut = F.when(F.col("words") < F.col("__size"), F.array_join(F.slice(split_words(own), F.lit(1), F.col("words").cast("int")), " ")).otherwise(own)
     columns = [(cut if c == text else F.col("__doc").getField(c)).alias(c) for c in docs.columns]
-    extra = [F.col("shard").alias("mix_shard"), F.col("place").alias("mix_place"), F.col("pass").alias("mix_pass"), F.col("words").alias("mix_words")]
+    extra = [F.col(own).alias(name) for own, name in zip(("shard", "place", "pass", "words"), MIXED, strict=True)]
     out = mixed(rows, plan).select(*columns, *extra)
     return out.repartition(plan.shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_place")

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanline.llm.text import raw_bytes, row_key, steps, word_spans
+from loanline.llm.text import apart, raw_bytes, row_key, steps, word_spans
 from loanline.operators.components import connected_components
 from loanline.sources.folders import stored
 
@@ -183,14 +183,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those of a group but one: that with the smallest doc_id, all columns as they are.
 
-    Where rows of a group share that doc_id (or all have a null one), one of the texts stays, once.
+    Where rows of a group share that doc_id (or all have a null one), one of the texts stays, once. Null, empty and
+    wordless texts are one group; texts may be of any length, columns may have any names.
     """
+    inner, (doc_id, text) = apart(docs, doc_id, text)
     heads = (
-        _grouped(docs, doc_id, text)
+        _grouped(inner, doc_id, text)
         .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("star")
         .agg(F.min("row").alias("__head"))
     )
-    kept = docs.withColumn("__row", row_key(doc_id, text)).join(heads, F.col("__row") == F.col("__head"), "left_semi")
+    kept = inner.withColumn("__row", row_key(doc_id, text)).join(heads, F.col("__row") == F.col("__head"), "left_semi")
     first = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    return kept.withColumn("__first", first).filter("__first = 1").drop("__first", "__row")
+    return kept.withColumn("__first", first).filter("__first = 1").drop("__first", "__row").toDF(*docs.columns)

@@ -27,6 +27,15 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.concat_ws(":", name, F.hex(F.xxhash64(body)), F.coalesce(F.octet_length(body), F.lit(-1)))
 
 
+def apart(docs: DataFrame, *names: str | None) -> tuple[DataFrame, list[str | None]]:
+    """``docs`` with its columns named c0, c1, ..., which nothing that an operator adds is called, and the new names of ``names``.
+
+    ``toDF(*docs.columns)`` gives the old names back.
+    """
+    found = [None if name is None else f"c{docs.columns.index(name)}" for name in names]
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), found
+
+
 def fold_of(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as 'null'."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))) % folds

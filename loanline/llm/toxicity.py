@@ -11,15 +11,18 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanline.llm.text import fold_of, steps
 
-#: Labelled rows of each class that are fitted on, and the length in characters up to which a text can be one of them.
+#: Labelled rows of each class that are fitted on (all, or about so many by hash), and the length in characters up to which
+#: a text can be one of them.
 SAMPLE = 2000
 SAMPLE_CHARS = 20_000
 #: Words of a chain; runs of the sample that are fitted on.
@@ -36,11 +39,15 @@ WORD = re.compile(r"\w+")
 
 @dataclass
 class Model:
-    """Weights of hashed word features (for the toxic state; the other has 0), of transitions and of the document score."""
+    """Weights of hashed word features (for the toxic state; the other has 0), of transitions and of the document score.
+
+    ``rates``: expected toxic words a word of clean and of toxic documents.
+    """
 
     weights: np.ndarray
     moves: np.ndarray
     score: np.ndarray
+    rates: np.ndarray
 
 
 def _features(word: str) -> list[int]:
@@ -120,12 +127,26 @@ def _padded(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return np.where(np.arange(RUN) < sizes[:, None], values[np.minimum(at, max(len(values) - 1, 0))], 0)
 
 
-def _summary(marginals: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
-    """Document features: constant, log of the expected number of toxic words, largest marginal."""
-    total = np.bincount(owner, weights=marginals.sum(1), minlength=texts)
-    most = np.zeros(texts)
-    np.maximum.at(most, owner, marginals.max(1) if len(owner) else np.zeros(0))
-    return np.stack([np.ones(texts), np.log(total + 1e-3), most], axis=1)
+def _expected(marginals: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """The expected number of toxic words of each text."""
+    return np.bincount(owner, weights=marginals.sum(1), minlength=texts)
+
+
+def _summary(expected: np.ndarray, lengths: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Document features: constant, and how much likelier so many toxic words in so many are at the toxic rate than at the clean one.
+
+    Words that a clean text has by chance grow with its length, and so does what the toxic rate would have given: the
+    longer a text, the more of them it takes.
+    """
+    clean, toxic = rates
+    ratio = expected * np.log(toxic / clean) - lengths * (toxic - clean)
+    return np.stack([np.ones(len(expected)), np.arcsinh(ratio)], axis=1)
+
+
+def _rates(expected: np.ndarray, lengths: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Toxic words a word of either class, never 0 and never less in the toxic one."""
+    clean = (expected[toxic == 0].sum() + 0.1) / (lengths[toxic == 0].sum() + 1000)
+    return np.array([clean, max((expected[toxic == 1].sum() + 0.1) / (lengths[toxic == 1].sum() + 10), 2 * clean)])
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -191,7 +212,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 80) -> Model | None:
     numbers = np.concatenate(numbered)
     features = vocabulary.known()
     starts, sizes, owner = _runs(lengths)
-    model = Model(np.zeros(1 << FEATURE_BITS), np.zeros((2, 2)), np.zeros(3))
+    model = Model(np.zeros(1 << FEATURE_BITS), np.zeros((2, 2)), np.zeros(2), np.zeros(2))
     if len(numbers):
         truth = is_seed[numbers] & np.repeat(toxic.astype(np.bool_), lengths)
         has = np.add.reduceat(truth, starts) > 0
@@ -218,7 +239,9 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 80) -> Model | None:
         marginals, _ = _chains(_padded(model.weights[features].sum(1)[numbers], starts, sizes), sizes, model.moves)
     else:
         marginals = np.zeros((0, RUN))
-    model.score = _fit_score(_summary(marginals, owner, len(numbered)), toxic.astype(float))
+    expected = _expected(marginals, owner, len(numbered))
+    model.rates = _rates(expected, lengths, toxic)
+    model.score = _fit_score(_summary(expected, lengths, model.rates), toxic.astype(float))
     return model
 
 
@@ -245,7 +268,8 @@ class Tagger:
         starts, sizes, owner = _runs(lengths)
         values = weights[np.array(numbers, np.int64)] if numbers else np.zeros(0)
         marginals, _ = _chains(_padded(values, starts, sizes), sizes, self.model.moves)
-        scores = _logistic(_summary(marginals, owner, len(texts)) @ self.model.score)
+        expected = _expected(marginals, owner, len(texts))
+        scores = _logistic(_summary(expected, lengths, self.model.rates) @ self.model.score)
         spans: list[list[dict]] = [[] for _ in texts]
         run, place = np.nonzero(marginals > 0.5)
         if len(run):
@@ -261,8 +285,9 @@ class Tagger:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """A model from labelled rows whose fold is not 0; None if there is none.
 
-    Fitted on the SAMPLE labelled ids of each class whose hash is least, as far as their texts have at most
-    SAMPLE_CHARS characters. An id with several labels counts as toxic if one of them says so; of several texts of an
+    Fitted on all labelled ids of a class, or where there are more than SAMPLE on those whose hash lies in a share of its
+    range that holds about as many (within some hundreds), as far as their texts have at most SAMPLE_CHARS characters.
+    Ids are counted and then filtered where they are; no class is put in order. An id with several labels counts as toxic if one of them says so; of several texts of an
     id the least is fitted on.
     """
     marks = (
@@ -271,14 +296,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .agg(F.max(F.col(label).cast("int")).alias("__toxic"))
         .filter("__toxic in (0, 1)")
     )
-    rank = F.row_number().over(Window.partitionBy("__toxic").orderBy(F.xxhash64("__id"), "__id"))
-    chosen = marks.withColumn("__rank", rank).filter(F.col("__rank") <= SAMPLE).select("__id", "__toxic")
+    counts = {r["__toxic"]: r["n"] for r in marks.groupBy("__toxic").agg(F.count("*").alias("n")).collect()}
+    place = F.shiftrightunsigned(F.xxhash64("__id"), 1)
+    inside = [(F.col("__toxic") == k) & (place < int(SAMPLE / n * 2**63)) if n > SAMPLE else F.col("__toxic") == k for k, n in counts.items()]
+    chosen = marks.filter(reduce(or_, inside, F.lit(False))).select("__id", "__toxic")
     body = F.col(f"`{text}`")
     sample = (
         docs.filter(body.isNotNull() & (F.length(body) <= SAMPLE_CHARS))
-        .join(F.broadcast(chosen), F.col(f"`{doc_id}`") == F.col("__id"))  # at most 2 * SAMPLE rows
+        .select(F.col(f"`{doc_id}`").alias("own"), body.alias("text"))
+        .join(F.broadcast(chosen), F.col("own") == F.col("__id"))  # about 2 * SAMPLE rows
         .groupBy(F.col("__id").alias("id"), F.col("__toxic").alias("toxic"))
-        .agg(F.min(body).alias("text"))  # however many rows have the id
+        .agg(F.min("text").alias("text"))  # however many rows have the id
         .toPandas()
         .sort_values("id")
     )
@@ -323,6 +351,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under one half, all columns as they are."""
+    """The rows of ``docs`` that score under one half, all columns as they are, whatever their names.
+
+    Null, empty and wordless texts score alike, by the share of toxic documents; texts of any length are scored whole, and
+    a long one takes toxic words in proportion; repeated rows stay or go together; without labels all rows stay.
+    """
     model = train(docs, labels, doc_id, text)
-    return with_toxicity(docs, model, text, "__toxicity").filter("__toxicity.score < 0.5").drop("__toxicity")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return with_toxicity(own, model).filter("toxicity.score < 0.5").select("row.*")

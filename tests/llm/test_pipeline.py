@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from loanline.llm import toxicity
 from loanline.llm.mixing import targets
@@ -58,3 +61,24 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0 and len(corpus_pipeline.STAGES) == 5
+
+
+_CLASHING = ["__row", "__first", "__head", "__found", "__of", "__removed", "__lines", "__numbers", "__differing", "__dirty", "__toxicity"]
+_CLASHING += ["__id", "__doc", "__source", "__size", "__key", "row", "toxicity", "c0", "c1", "shard", "words", "place", "mix_shard", "mix_words", "text2"]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_of_any_name(spark, name):
+    """Each stage, with a column of every name that one uses inside, gives what it gives without them."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    more = docs.select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in _CLASHING])
+    plain, got = stage(spark, docs, folder), stage(spark, more, folder)
+    mixed = ["mix_shard", "mix_place", "mix_pass", "mix_words"] if name == "mixing" else []
+    kept = [c for c in _CLASHING if c not in mixed]
+    assert got.columns == [*docs.columns, *kept, *mixed]
+    rows = got.collect()
+    assert all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in kept)
+    key = lambda r: tuple(str(r[c]) for c in plain.columns)
+    assert sorted(map(key, rows)) == sorted(map(key, plain.collect()))
