@@ -10,10 +10,11 @@ from loanline.operators import cleaning
 from loanline.operators.encoding import ordinal_encode
 from loanline.operators.incremental import distinct_keys, new_records
 from loanline.operators.runs import above_thresholds, name_contains, of_type, with_metric
+from loanline.plans.history import append_new
 from loanline.plans.preprocessing import run_steps
 from loanline.queries.standins import EXPERIMENT, LOADED_BEFORE, loans, moment, oracle, runs, table
 from loanline.schemas import FEATURES, KEYS, ORDINAL_CATEGORIES
-from loanline.sources import project_features
+from loanline.sources import project_features, work_folder
 
 _TEXTS = ["credit_history", "purpose", "other_credit", "housing", "job", "phone"]
 NUMBERS = [
@@ -193,7 +194,28 @@ def _new(operator: str) -> str:
     )
 
 
+
+_MONTH = {"month": "date_format(start_date, 'yyyy-MM')"}
+
+
+def indexed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early loans as a history by month, then two increments over all loans; the second adds nothing."""
+    raw, folder = loans(spark, sf_dir).select(*KEYS, "amount"), work_folder(spark, "history")
+    added = [append_new(spark, rows, folder, KEYS, _MONTH) for rows in (raw.filter(F.col("start_date") < moment(LOADED_BEFORE)), raw, raw)]
+    rows = spark.read.parquet(f"{folder}/rows")
+    return rows.select(*KEYS, "amount", F.date_format("start_date", "yyyy-MM").alias("month"), F.lit("-".join(map(str, added))).alias("added"))
+
+
 QUERIES = {
+    "indexed_history": (
+        indexed_history,
+        oracle(
+            f"""SELECT id, start_date, end_date, amount, strftime(start_date, '%Y-%m') AS month,
+ count(*) FILTER (start_date < TIMESTAMP '{LOADED_BEFORE}') OVER () || '-'
+ || count(*) FILTER (start_date >= TIMESTAMP '{LOADED_BEFORE}') OVER () || '-0' AS added FROM loans""",
+            "loans",
+        ),
+    ),
     "unit_cleanup": (unit_cleanup, oracle(f"SELECT id, {CLEANED_TEXTS} FROM loans", "loans")),
     "label_and_income": (
         label_and_income,

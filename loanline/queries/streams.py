@@ -23,8 +23,8 @@ from loanline.queries.standins import (
     table,
 )
 from loanline.schemas import FEATURES, KEYS
-from loanline.sources import project_features, scan, work_folder
-from loanline.streaming import ingest_stream, new_against_fixed, score_stream
+from loanline.sources import project_features, read_signature, scan, work_folder
+from loanline.streaming import ingest_stream, new_against_fixed, score_stream, score_stream_measured, stream_metrics
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,7 +108,42 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, target)
 
 
+def measured_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams of loans scored with metrics, one started twice; their cells against a count over all results."""
+    split = split_raw(loans(spark, sf_dir), "id")
+    settings = {"lr_baseline": EXPERIMENTS["logistic_regression"]["lr_baseline"]}
+    runs, models = train_on_raw(spark, split, "logistic_regression", settings, EXPERIMENT, work_folder(spark, "models"))
+    model, signature = next(iter(models.values())), read_signature(spark, runs.first()["model_uri"])
+    target, metrics = work_folder(spark, "scored"), work_folder(spark, "metrics")
+    places = {name: work_folder(spark, "checkpoint") for name in ("open", "closed")}
+    for name in ("open", "closed", "open"):
+        orders = stream(spark, sf_dir, "orders").filter((F.col("o_orderstatus") == "O") == F.lit(name == "open"))
+        arriving = loans_from(orders, table(spark, sf_dir, "customer"))
+        score_stream_measured(
+            arriving, model, FEATURES, target, metrics, places[name], F.lit("logistic_regression"),
+            F.lit("loan-scorer-logistic_regression-prod"), now(), stream_id=name, signature=signature,
+        ).awaitTermination()
+    found = stream_metrics(spark, metrics, ["stream_id"])
+    labelled = scan(spark, target).select("stream_id", (F.col("default") == "yes").alias("yes"), (F.col("prediction") == 1).alias("said"))
+    again = labelled.groupBy("stream_id").agg(
+        F.count_if(F.col("yes") & F.col("said")).alias("tp2"), F.count_if(F.col("yes") == F.col("said")).alias("right")
+    )
+    gap = F.abs(F.col("tp") - F.col("tp2")) + F.abs(F.col("tp") + F.col("tn") - F.col("right"))
+    return found.join(again, "stream_id").select(
+        "stream_id", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"), "unscored", gap.alias("gap")
+    )
+
+
 QUERIES = {
+    "stream_metrics": (
+        measured_stream,
+        oracle(
+            """SELECT CASE WHEN end_date IS NULL THEN 'open' ELSE 'closed' END AS stream_id,
+ count(*) FILTER ("default" = 'yes') AS positives, count(*) FILTER ("default" = 'no') AS negatives,
+ CAST(0 AS BIGINT) AS unscored, CAST(0 AS BIGINT) AS gap FROM loans GROUP BY 1""",
+            "loans",
+        ),
+    ),
     "stream_incremental": (incremental_stream, scaled_sql(KEYS, EARLY, True)),
     "stream_two_sources": (
         stream_two_sources,

@@ -25,7 +25,7 @@ def least_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return least.select(*keys, "least.*").select(*rows.columns)
 
 
-def _bind(spark: SparkSession, target: str, stream_id: str, checkpoint: str) -> None:
+def bind_checkpoint(spark: SparkSession, target: str, stream_id: str, checkpoint: str) -> None:
     """Note the checkpoint of a stream id beside the table, or fail if it has another."""
     bindings = f"{target.rstrip('/')}__streams"
     create_if_missing(spark, bindings, "stream_id string, checkpoint string")
@@ -57,7 +57,7 @@ def ingest_stream(
     spark = stream.sparkSession
     schema = StructType([*target_schema.fields, StructField(STREAM, StringType()), StructField(BATCH, LongType())])
     create_if_missing(spark, target, schema, [STREAM, BATCH])
-    _bind(spark, target, stream_id, checkpoint)
+    bind_checkpoint(spark, target, stream_id, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         own = (F.col(STREAM) == stream_id) & (F.col(BATCH) == batch_id)
