@@ -1,8 +1,8 @@
 """Benchmark decontamination by winnowing.
 
 From every run of ``span`` words the least k-gram hash of a sliding window is kept, so two texts that share ``span``
-words share a kept fingerprint at the same place. Fingerprints of documents and benchmark are joined; each match is
-extended word by word, on the words themselves, and counts where it covers a whole window.
+words share a kept fingerprint at the same place. A fingerprint that the benchmark may have is extended to the windows
+it was kept from; those are joined by hash and by their words. A shared run shorter than a window joins nothing.
 """
 
 from __future__ import annotations
@@ -64,10 +64,10 @@ def _grams(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray,
     return _mixed(total + np.uint64(size)), owner[:n] == owner[size - 1 : size - 1 + n]
 
 
-def winnowed(words: np.ndarray, owner: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(first words, fingerprints, words of a fingerprint) kept for shared runs of ``span`` words."""
+def _picks(words: np.ndarray, owner: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of each window of ``span`` words: whether it lies in one text, its least gram, where that begins; words of a gram."""
     size = min(GRAM, span)
-    grams, inside = _grams(words, owner, size)
+    grams, _ = _grams(words, owner, size)
     window = span - size + 1
     n = max(0, len(words) - span + 1)
     whole = owner[:n] == owner[span - 1 : span - 1 + n]
@@ -76,10 +76,22 @@ def winnowed(words: np.ndarray, owner: np.ndarray, span: int) -> tuple[np.ndarra
         lower = grams[i : i + n] <= least  # the last of equals
         best[lower] = i
         least[lower] = grams[i : i + n][lower]
-    keep = np.zeros(len(grams), np.bool_)
-    keep[(np.arange(n) + best)[whole]] = True
-    at = np.flatnonzero(keep & inside)
-    return at, grams[at].view(np.int64), size
+    return whole, least, np.arange(n) + best, size
+
+
+def winnowed(words: np.ndarray, owner: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first words, fingerprints, words of a fingerprint) kept for shared runs of ``span`` words."""
+    whole, least, places, size = _picks(words, owner, span)
+    at, first = np.unique(places[whole], return_index=True)
+    return at, least[whole][first].view(np.int64), size
+
+
+def extended(words: np.ndarray, owner: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, fingerprints, hashes of all words) of the windows to which kept fingerprints extend."""
+    whole, least, _, _ = _picks(words, owner, span)
+    every, _ = _grams(words, owner, span)
+    at = np.flatnonzero(whole)
+    return at, least[at].view(np.int64), every[at].view(np.int64)
 
 
 class _Words:
@@ -94,17 +106,14 @@ class _Words:
         self.ends = np.cumsum(self.counts)
         self.text = self.data.tobytes()
 
-    def around(self, at: int, before: int, after: int) -> tuple[str, int]:
-        """The words from ``before`` ahead of a word to ``after`` past it, inside its text, and how many are ahead."""
-        owner = self.owner[at]
-        low = max(int(self.ends[owner] - self.counts[owner]), at - before)
-        high = min(int(self.ends[owner]), at + after)
-        pairs = zip(self.first[low:high].tolist(), self.last[low:high].tolist(), strict=True)
-        return b" ".join([self.text[a:b] for a, b in pairs]).decode(), at - low
+    def window(self, at: int, span: int) -> str:
+        """The ``span`` words from a word on."""
+        pairs = zip(self.first[at : at + span].tolist(), self.last[at : at + span].tolist(), strict=True)
+        return b" ".join([self.text[a:b] for a, b in pairs]).decode()
 
 
-def _bench_prints(spans: list[int]):
-    """Fingerprints of items: of ``span`` words of longer ones, and of the whole length of shorter ones."""
+def _bench_windows(spans: list[int]):
+    """Windows of items: of ``span`` words of longer ones, and of the whole length of shorter ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -112,39 +121,36 @@ def _bench_prints(spans: list[int]):
             out = []
             for span in spans:
                 own = words.counts >= span if span == SPAN else words.counts == span
-                at, prints, size = winnowed(words.hashes, words.owner, span)
-                for i, fingerprint in zip(at.tolist(), prints.tolist(), strict=True):
+                for i, fingerprint, whole in zip(*(x.tolist() for x in extended(words.hashes, words.owner, span)), strict=True):
                     if own[words.owner[i]]:
-                        context, ahead = words.around(i, span - size, span)
-                        out.append((items[words.owner[i]], span, fingerprint, context, ahead))
+                        out.append((items[words.owner[i]], span, fingerprint, whole, words.window(i, span)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*out, strict=True), _BENCH, strict=True)] if out else [pa.array([], t) for t in _BENCH],
-                names=["item", "span", "print", "item_words", "item_ahead"],
+                names=["item", "span", "print", "whole", "words"],
             )
 
     return run
 
 
-_BENCH = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32()]
-_CANDIDATE = pa.struct([("span", pa.int32()), ("print", pa.int64()), ("at", pa.int64()), ("words", pa.string()), ("ahead", pa.int32())])
+_BENCH = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+_CANDIDATE = pa.struct([("span", pa.int32()), ("whole", pa.int64()), ("at", pa.int64()), ("words", pa.string())])
 
 
-def _doc_prints(spans: list[int], bits):
-    """Each document's word count and its fingerprints that may be in the benchmark, with the words around them."""
+def _doc_windows(spans: list[int], filters):
+    """Each document's word count, and its windows whose fingerprint and whole hash may be in the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(np.bool_)
+        has_print, has_whole = (np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little").view(np.bool_) for b in filters.value)
         for batch in steps(batches):
             words = _Words(batch.column(2))
             found: list[list] = [[] for _ in range(batch.num_rows)]
             for span in spans:
-                at, prints, size = winnowed(words.hashes, words.owner, span)
-                likely = passes[prints & (FILTER_BITS - 1)]
-                for i, fingerprint in zip(at[likely].tolist(), prints[likely].tolist(), strict=True):
+                at, prints, whole = extended(words.hashes, words.owner, span)
+                likely = has_print[prints & (FILTER_BITS - 1)] & has_whole[whole & (FILTER_BITS - 1)]
+                for i, hashed in zip(at[likely].tolist(), whole[likely].tolist(), strict=True):
                     owner = int(words.owner[i])
-                    context, ahead = words.around(i, span - size, span)
                     place = i - int(words.ends[owner] - words.counts[owner])
-                    found[owner].append({"span": span, "print": fingerprint, "at": place, "words": context, "ahead": ahead})
+                    found[owner].append({"span": span, "whole": hashed, "at": place, "words": words.window(i, span)})
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(words.counts), pa.array(found, pa.list_(_CANDIDATE))],
                 names=["doc_id", "row", "n_words", "found"],
@@ -153,27 +159,18 @@ def _doc_prints(spans: list[int], bits):
     return run
 
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grow each joined fingerprint to the run of equal words around it; runs of a whole window stay."""
-    for batch in batches:
-        keep, low, high = [], [], []
-        names = ["span", "at", "words", "ahead", "item_words", "item_ahead"]
-        for n, (span, at, words, ahead, item_words, item_ahead) in enumerate(zip(*(batch.column(x).to_pylist() for x in names), strict=True)):
-            own, item = words.split(" "), item_words.split(" ")
-            left = 0
-            while left < min(ahead, item_ahead) and own[ahead - left - 1] == item[item_ahead - left - 1]:
-                left += 1
-            right = 0
-            while right < min(len(own) - ahead, len(item) - item_ahead) and own[ahead + right] == item[item_ahead + right]:
-                right += 1
-            if left + right >= span:
-                keep.append(n)
-                low.append(at - left)
-                high.append(at + right)
-        kept = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [kept.column("row"), kept.column("items"), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["row", "items", "low", "high"]
-        )
+def _filter(hashes: DataFrame, name: str) -> bytes:
+    """The low bits of all hashes in a bitmap of FILTER_BITS; at most FILTER_BITS / 64 rows reach the driver."""
+    place = F.col(name).bitwiseAND(F.lit(FILTER_BITS - 1))
+    blocks = (
+        hashes.select(F.shiftright(place, 6).alias("block"), F.expr(f"shiftleft(1L, cast({name} & 63 as int))").alias("bit"))
+        .groupBy("block")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toPandas()
+    )
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[blocks["block"].to_numpy(np.int64)] = blocks["bits"].to_numpy(np.int64)
+    return bits.tobytes()
 
 
 def _covered(spans: str) -> str:
@@ -204,37 +201,28 @@ def contamination(
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     lengths = items.select(F.least(F.size(F.regexp_extract_all(F.lower("text"), F.lit(word), 0)), F.lit(SPAN)).alias("n")).distinct()
     spans = sorted(r.n for r in lengths.collect() if r.n and r.n > 0)  # at most 13 values
-    prints = stored(
-        items.mapInArrow(_bench_prints(spans), "item string, span int, print long, item_words string, item_ahead int")
-        .groupBy("span", "print", "item_words", "item_ahead")
+    windows = stored(
+        items.mapInArrow(_bench_windows(spans), "item string, span int, print long, whole long, words string")
+        .groupBy("span", "print", "whole", "words")
         .agg(F.collect_set("item").alias("items")),
-        "benchmark-prints",
+        "benchmark-windows",
     )
-    place = F.col("print").bitwiseAND(F.lit(FILTER_BITS - 1))
-    blocks = (
-        prints.select(F.shiftright(place, 6).alias("block"), F.expr(f"shiftleft(1L, cast(print & 63 as int))").alias("bit"))
-        .groupBy("block")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toPandas()
-    )  # at most FILTER_BITS / 64 rows
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[blocks["block"].to_numpy(np.int64)] = blocks["bits"].to_numpy(np.int64)
-    passes = spark.sparkContext.broadcast(bits.tobytes())
+    passes = spark.sparkContext.broadcast((_filter(windows, "print"), _filter(windows, "whole")))
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
     marked = stored(
         own.select("doc_id", row_key().alias("row"), "text").mapInArrow(
-            _doc_prints(spans, passes),
-            f"doc_id {kind}, row string, n_words long, found array<struct<span int, print long, at long, words string, ahead int>>",
+            _doc_windows(spans, passes),
+            f"doc_id {kind}, row string, n_words long, found array<struct<span int, whole long, at long, words string>>",
         ),
-        "document-prints",
+        "document-windows",
     )
+    # Distinct windows are few beside their places: a template of many items and documents is one row on this side.
     hits = (
         marked.select("row", F.explode("found").alias("f"))
         .select("row", "f.*")
-        .join(prints, ["span", "print"])
-        .select("row", "span", "at", "words", "ahead", "item_words", "item_ahead", "items")
-        .mapInArrow(_extended, "row string, items array<string>, low long, high long")
+        .join(windows.select("span", "whole", "words", "items"), ["span", "whole", "words"])
+        .select("row", F.col("at").alias("low"), (F.col("at") + F.col("span")).alias("high"), "items")
     )
     runs = hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("runs"), F.flatten(F.collect_set("items")).alias("items"))
     runs = runs.select("row", F.expr(_covered("runs")).alias("n_hit"), F.sort_array(F.array_distinct("items")).alias("items"))

@@ -100,3 +100,22 @@ def test_shared_spans_share_a_fingerprint():
             at, found, _ = winnowed(all_words, np.zeros(len(all_words), np.int64), 13)
             prints.append({(int(p), int(a) - len(ahead)) for a, p in zip(at, found, strict=True) if 0 <= a - len(ahead) <= 6})
         assert prints[0] & prints[1]
+
+
+def test_shared_phrases_shorter_than_a_window_join_nothing(spark, monkeypatch):
+    """A phrase of 12 words in 1,000 documents and 1,000 items, and a window that 300 of each share."""
+    import loanline.llm.decontamination as module
+
+    seen = []
+    monkeypatch.setattr(module, "stored", lambda df, name, keep=module.stored: seen.append((name, keep(df, name))) or seen[-1][1])
+    phrase = " ".join(f"t{i}" for i in range(12))
+    docs = [(i, f"d{i} x{i} {phrase} y{i} " + " ".join(f"z{i}q{j}" for j in range(30)) + (f" {phrase} whole" if i < 300 else "")) for i in range(1000)]
+    items = [(i, f"a{i} b{i} {phrase} {'whole' if i < 300 else f'c{i}'} e{i} f{i}") for i in range(1000)]
+    found = contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"))
+    rows = {r.doc_id: r for r in found.collect()}
+    assert {r.n_hit for d, r in rows.items() if d < 300} == {13} and {r.n_items for d, r in rows.items() if d < 300} == {300}
+    assert all(r.n_hit == r.n_items == 0 for d, r in rows.items() if d >= 300)
+    marked = next(df for name, df in seen if name == "document-windows")
+    windows = next(df for name, df in seen if name == "benchmark-windows")
+    joined = marked.selectExpr("explode(found) AS f").select("f.*").join(windows, ["span", "whole"])
+    assert joined.count() < 10_000 and windows.count() < 10_000
