@@ -8,6 +8,7 @@ themselves, at most as many as the vocabulary has, need not be sent.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +29,30 @@ from loanline.sources.folders import stored
 BLOCK_BYTES = 32 << 20
 LIMIT = 2048
 
+# ---- fixed values: how the tokenizer files are set up for which the short way below finds the same pre-tokens ----
+_SHORT = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 # Characters of which we know that composing them changes nothing, and which of them are letters, digits and blanks.
 _LETTER = "a-zÀ-ÖØ-öø-įı-ſ"
 _PLAIN = re.compile(f"[\\t\\n\\r\\x20-\\x7e{_LETTER}×÷–—‘-”…]*")
@@ -40,20 +65,36 @@ def _tokenizer(path: str) -> Tokenizer:
 
 
 class PreTokens:
-    """Pre-tokens of texts by the library's own normalizer and pre-tokenizer, with a shorter way for plain Latin text."""
+    """Pre-tokens of texts by the library's own normalizer and pre-tokenizer.
+
+    Files set up as ``_SHORT`` have a shorter way for plain Latin text; theirs are slices of the normalized text. Those of
+    any other file are what its pre-tokenizer hands to the model.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            setup = json.load(file)
+        self.short = all(setup.get(part) == setting for part, setting in _SHORT.items())
+        self.suffix = setup["model"].get("end_of_word_suffix") or ""
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        odd = [t.content for t in added if t.normalized or t.single_word or t.lstrip or t.rstrip]
+        if odd:
+            raise ValueError(f"added tokens that are not matched as they stand: {odd}")
+        special = [t.content for t in added]
         self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.whole: dict[str, bool] = {}
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def _of(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text):
+        if self.short and _PLAIN.fullmatch(text):
             return _PRETOKEN.findall(text.lower())
-        normal = self.tokenizer.normalizer.normalize_str(text)
-        return [normal[start:end] for _, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+        normalizer, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        normal = normalizer.normalize_str(text) if normalizer else text
+        if cut is None:
+            return [normal] if normal else []
+        found = cut.pre_tokenize_str(normal)
+        return [normal[start:end] if self.short else piece for piece, (start, end) in found]
 
     def __call__(self, text: str) -> tuple[Counter, int]:
         """(how often it has which pre-token, how many special strings stand between)."""
@@ -67,7 +108,7 @@ class PreTokens:
 
     def is_one_piece(self, pretoken: str) -> bool:
         """Whether a plain pre-token is an entry of the vocabulary that the model leaves whole."""
-        if pretoken + "</w>" not in self.vocabulary or not pretoken.isascii():
+        if pretoken + self.suffix not in self.vocabulary or not pretoken.isascii():
             return False
         found = self.whole.get(pretoken)
         if found is None:
@@ -76,8 +117,10 @@ class PreTokens:
 
     def pieces(self, pretoken: str) -> int:
         """How many tokens a pre-token becomes."""
-        model, encoded = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str(pretoken)
-        return sum(len(model.tokenize(part)) for part, _ in encoded)
+        model = self.tokenizer.model
+        if not self.short:
+            return len(model.tokenize(pretoken))
+        return sum(len(model.tokenize(part)) for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(pretoken))
 
 
 _INTS = pa.list_(pa.int32())
@@ -167,8 +210,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): a row for each row of ``docs``, as the tokenizer file at ``path`` counts.
 
-    Special strings inside a text are one token each, as the library has it by default; none is added. A null text is
-    empty and has no token. Repeated rows are counted alike, a null id stays null; other columns are ignored.
+    Any file of the library will do whose pre-tokens are tokenized one by one; one with added strings that take in their
+    surroundings is refused. Special strings inside a text are one token each, as the library has it by default; none is
+    added. A null text is empty and has no token; a very long one is read whole, as a block of its own. Repeated rows are counted alike, a null id stays null; other columns are ignored.
     """
     kind = docs.schema[doc_id].dataType
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.col(f"`{text}`").alias("text"))

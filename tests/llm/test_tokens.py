@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import public_tokenizers
@@ -9,11 +10,7 @@ from tokenizers import Tokenizer
 from loanline.llm.tokens import PreTokens, count_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-
-
-@pytest.fixture(scope="module")
-def library():
-    return Tokenizer.from_file(PATH)
+FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 
 
 def fixture():
@@ -26,10 +23,13 @@ def fixture():
     return rows + [(None, "no id"), (3, rows[3][1]), (3, "other")]
 
 
-def test_against_the_library(spark, library):
+@pytest.mark.parametrize("name", FILES)
+def test_against_the_library(spark, name):
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
     rows = fixture()
     frame = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, block string").repartition(3)
-    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(frame, PATH).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(frame, path).collect()), key=str)
     want = []
     for doc, text in rows:
         n = len(library.encode(text or "", add_special_tokens=False).ids)
@@ -44,5 +44,24 @@ def test_each_pretoken_is_one_of_its_own():
             assert len(pretokens.tokenizer.pre_tokenizer.pre_tokenize_str(word)) == 1
 
 
+def test_files_without_normalizer_special_strings_or_pretokenizer(tmp_path):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        setup = json.load(file)
+    texts = ["A sentence, of 10 words.", "漢字 😀", "", "a<|endoftext|>b"]
+    for part in ("pre_tokenizer", "added_tokens"):
+        path = tmp_path / f"{part}.json"
+        path.write_text(json.dumps(setup | {part: None if part == "pre_tokenizer" else []}))
+        pretokens, library = PreTokens(str(path)), Tokenizer.from_file(str(path))
+        for text in texts:
+            found, special = pretokens(text)
+            want = len(library.encode(text, add_special_tokens=False).ids)
+            assert special + sum(n * pretokens.pieces(word) for word, n in found.items()) == want
+    greedy = [setup["added_tokens"][0] | {"lstrip": True}]
+    path = tmp_path / "greedy.json"
+    path.write_text(json.dumps(setup | {"added_tokens": greedy}))
+    with pytest.raises(ValueError, match="endoftext"):
+        PreTokens(str(path))
+
+
 def test_empty(spark):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
