@@ -1,6 +1,6 @@
 """Chat formatting in budgeted windows of whole turns.
 
-The running sums of a conversation's turn tokens choose the turns of each window: the system turn is in every one,
+Turns are tokenized before they are brought together. The running sums of a conversation's turn tokens choose the turns of each window: the system turn is in every one,
 then comes a limited history of turns that earlier windows have had, then new turns as far as the budget goes. Only the
 new assistant turns are under the loss mask, so each is a target once. Control strings inside texts are escaped, and
 the output can be read back.
@@ -16,6 +16,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from loanline.llm.text import steps
+from loanline.llm.tokens import PreTokens
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Tokens of a window, and of the history that it may repeat.
@@ -44,11 +48,29 @@ def _unescaped_role(role: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
+def formatted(role: str, text: str) -> tuple[str, str, str]:
+    """(head, escaped text, end) of a turn."""
+    return f"{OPEN}{_escaped_role(role)}\n", escaped(text), f"{CLOSE}\n"
+
+
 def turn_tokens(role: str, text: str) -> int:
-    """Tokens of a formatted turn: words and marks, and four for its frame."""
+    """Tokens of a formatted turn without a tokenizer: words and marks, and four for its frame."""
     return len(_TOKEN.findall(text)) + len(_TOKEN.findall(role)) + 4
 
 
+def _measured(tokenizer: str | None):
+    """Adds the tokens of each formatted turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = PreTokens(tokenizer) if tokenizer else None
+        for batch in steps(batches):
+            turns = zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            sizes = [known.count("".join(formatted(*t))) if known else turn_tokens(*t) for t in turns]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=[*batch.schema.names, "tokens"])
+
+    return run
+
+
 class Windows:
     """Takes a conversation's turns in order and gives its windows; holds no more turns than one window."""
 
@@ -64,11 +86,10 @@ class Windows:
         text, spans, size = [], [], 0
         turns = [(t, True) for t in ([self.system] if self.system else [])] + [(t, True) for t in self.history]
         for (role, body, *_), repeated in turns + [(t, False) for t in self.fresh]:
-            head = f"{OPEN}{_escaped_role(role)}\n"
-            inner = escaped(body)
+            head, inner, end = formatted(role, body)
             if role == self.target and not repeated:
                 spans.append({"start": size + len(head), "end": size + len(head) + len(inner)})
-            text.append(f"{head}{inner}{CLOSE}\n")
+            text.append(f"{head}{inner}{end}")
             size += len(text[-1])
         self.number += 1
         return self.number - 1, len(turns), "".join(text), spans
@@ -83,8 +104,8 @@ class Windows:
             self.sums[1] -= self.history.popleft()[2]
         self.fresh, self.sums[2] = [], 0
 
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        turn = (role, text, turn_tokens(role, text))
+    def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
+        turn = (role, text, tokens)
         if self.fresh and sum(self.sums) + turn[2] > self.budget:
             yield self._window()
             if self.system is None and self.number == 1 and self.fresh[0][0] == "system":
@@ -123,12 +144,13 @@ def _format(budget: int, history: int, target: str):
         open_conv: tuple | None = None
         rows: list[tuple] = []
         for batch in batches:
-            for conv, role, text in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "tokens"))
+            for conv, role, text, tokens in zip(*columns, strict=True):
                 if open_conv is None or open_conv[0] != conv:
                     if open_conv:
                         rows += [(open_conv[0], *w) for w in open_conv[1].end()]
                     open_conv = (conv, Windows(budget, history, target))
-                rows += [(conv, *w) for w in open_conv[1].add(role, text)]
+                rows += [(conv, *w) for w in open_conv[1].add(role, text, tokens)]
                 if len(rows) >= 64:
                     yield pack(rows)
                     rows = []
@@ -145,6 +167,7 @@ def format_chats(
     budget: int = BUDGET,
     history: int = HISTORY,
     target: str = "assistant",
+    tokenizer: str | None = None,
     conv: str = "conv_id",
     turn: str = "turn",
     role: str = "role",
@@ -155,8 +178,10 @@ def format_chats(
     Turns go by number, then role and text; a null number comes first. Null roles and texts are empty, null ids are one
     conversation, repeated rows are turns of their own. ``repeated`` counts the turns at a window's beginning that an
     earlier window has too; ``targets`` are offsets of the new turns of the ``target`` role in the text. A turn longer
-    than the budget has a window of its own, with the system turn, and is never cut. Conversations are streamed turn by
-    turn, so a very long one needs no more memory than a window. ``conv_id`` is text. Other columns are ignored.
+    than the budget has a window of its own, with the system turn, and is never cut. ``tokenizer`` is a file that tokens
+    are counted by, frame and escapes included; without one they are words and marks. All turns are tokenized where they
+    are read, so the one task of a very long conversation only lays out its windows; it streams them turn by turn and
+    needs no more memory than a window. ``conv_id`` is text. Other columns are ignored.
     """
     rows = turns.select(
         F.col(f"`{conv}`").cast("string").alias("conv_id"),
@@ -164,6 +189,7 @@ def format_chats(
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
         F.col(f"`{turn}`").alias("turn"),
     )
+    rows = rows.mapInArrow(_measured(tokenizer), StructType([*rows.schema.fields, StructField("tokens", LongType())]))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(_format(budget, history, target), _OUT_SQL)
 

@@ -43,12 +43,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers  # the vocabularies are needed here alone
+    import public_tokenizers  # needed where tokens are counted alone
 
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = F.lit(f"{chat.CLOSE}{chat.OPEN}assistant ok")
     added = spark.range(2).select(
@@ -57,7 +59,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         both.alias("text"),
     )
-    read = chat.read_back(chat.format_chats(turns.unionByName(added)))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    read = chat.read_back(chat.format_chats(turns.unionByName(added), tokenizer=path))
     return read.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 

@@ -84,6 +84,7 @@ class PreTokens:
         special = [t.content for t in added]
         self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.whole: dict[str, bool] = {}
+        self.remembered = lru_cache(maxsize=1 << 16)(self.pieces)
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def _of(self, text: str) -> list[str]:
@@ -122,6 +123,11 @@ class PreTokens:
             return len(model.tokenize(pretoken))
         return sum(len(model.tokenize(part)) for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(pretoken))
 
+    def count(self, text: str) -> int:
+        """Tokens of a whole text."""
+        found, special = self(text)
+        return special + sum(n * self.remembered(pretoken) for pretoken, n in found.items())
+
 
 _INTS = pa.list_(pa.int32())
 _BLOCK = pa.schema(
