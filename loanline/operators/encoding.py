@@ -16,10 +16,11 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from loanline.operators.ordering import number_in_order
 from loanline.schemas import KEYS, NOMINAL, ORDINAL_CATEGORIES
 
 MAX_CATEGORIES = 10_000
@@ -96,12 +97,14 @@ def _indexers(values: Mapping[str, list[str]], outputs: Mapping[str, str]) -> li
 def category_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows (column, value, n, index): most frequent value first, ties in text order.
 
-    All columns are counted in one aggregation; only the distinct values are ranked.
+    All columns are counted in one aggregation; the distinct values are numbered range by range, so a column may have
+    any number of them.
     """
     long = df.select(*columns).unpivot([], list(columns), "column", "value").filter(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return counts.withColumn("index", F.row_number().over(order) - 1)
+    turns = counts.withColumn("turn", F.struct((-F.col("n")).alias("rarer"), "value"))
+    numbered = number_in_order(turns, "column", "turn", "index")
+    return numbered.select("column", "value", "n", (F.col("index") - 1).cast("int").alias("index"))
 
 
 def fit_one_hot(

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from loanline.functions.maps import canonical_json, metric, with_default
 from loanline.operators.components import connected_components
 from loanline.operators.incremental import with_logged_flag
+from loanline.operators.ordering import number_in_order
 from loanline.operators.runs import first_per, top_runs
 from loanline.operators.sizes import broadcast_if_small
 from loanline.schemas import COMPARED_METRICS, PRIMARY_METRIC, TOLERANCE
-from loanline.sources.folders import cut_lineage, stored
+from loanline.sources.folders import stored
 
 # ---- fixed values: reasons written to the registration log ----
 REGISTERED = "Registered successfully"
@@ -123,21 +124,6 @@ def accept_in_order(candidates: DataFrame, tolerance: float = TOLERANCE) -> Data
     return group.select("model_name", F.explode(F.transform(accepted, lambda r: r["turn"]["run_id"])).alias("run_id"))
 
 
-def number_in_order(df: DataFrame, group: str, turn: str, number: str = "number") -> DataFrame:
-    """Number the rows of each group from 1 without gathering a group in one task.
-
-    Rows are range-partitioned and kept, numbered inside a range, and moved on by the row
-    counts of the ranges before it.
-    """
-    ranged = cut_lineage(df.repartitionByRange(group, turn).withColumn("slice", F.spark_partition_id()))
-    sizes = ranged.groupBy(group, "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(group, "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy(group, "slice").orderBy(turn))
-    joined = ranged.withColumn(number, inside).join(broadcast_if_small(starts), [group, "slice"])
-    return joined.withColumn(number, F.col(number) + F.col("start")).drop("slice", "start")
-
-
 def register_decisions(
     runs: DataFrame,
     log: DataFrame,

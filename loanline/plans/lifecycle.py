@@ -18,6 +18,7 @@ from loanline.operators.registry import (
 )
 from loanline.operators.runs import evaluation_rows
 from loanline.schemas import ALIASES, EVALUATION_LOG, REGISTRATION_LOG, STORED_VERSIONS, UAT_RESULTS
+from loanline.sources.buckets import replace_in_buckets
 from loanline.sources.folders import cut_lineage
 from loanline.sources.tables import append, create_if_missing, replace_keys, scan
 
@@ -75,8 +76,12 @@ def uat_rows(scored: DataFrame, model_type: str, when: Column, by: list[str]) ->
 
 
 def store_uat(rows: DataFrame, target: str) -> int:
-    """Replace the stored results of the versions in ``rows``."""
-    return replace_keys(rows, target, ["model_name", "model_version"])
+    """Replace the stored results of the versions in ``rows``.
+
+    A path is a table in buckets, read by ``read_buckets``; a catalog table has a partition for each version.
+    """
+    store = replace_in_buckets if "/" in target else replace_keys
+    return store(rows, target, ["model_name", "model_version"])
 
 
 def promote_to_staging(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from loanline.operators.cleaning import prepare, unit_cleanup
 from loanline.operators.encoding import (
+    MAX_CATEGORIES,
     fit_one_hot,
     fit_scaler,
     numeric_columns,
@@ -58,8 +60,9 @@ class Preprocessor:
         invalid: str = "error",
         impute: str | None = None,
         enabled: Mapping[str, bool] | None = None,
+        max_categories: int = MAX_CATEGORIES,
     ) -> Preprocessor:
-        """Fit on projected raw rows.
+        """Fit on projected raw rows; a nominal column may have ``max_categories`` values.
 
         Two passes: one for the categories and the fills, one for the moments. The cleaned rows are not kept: each
         pass reads only the columns it needs, and cleaning costs less than storing a large table again.
@@ -69,7 +72,8 @@ class Preprocessor:
         cleaned = run_steps(raw, steps)
         inputs = [c for c in cleaned.columns if c not in (*KEYS, "label")]
         gaps = numeric_columns(cleaned, inputs) if impute and with_scaler else ()
-        known = summarise(cleaned, NOMINAL if with_nominal else (), gaps, impute) if with_nominal or gaps else None
+        texts = NOMINAL if with_nominal else ()
+        known = summarise(cleaned, texts, gaps, impute, max_categories) if texts or gaps else None
         nominal = fit_one_hot(cleaned, known=known) if with_nominal else None
         coded = one_hot(cleaned, nominal) if nominal else cleaned
         scaler = None
@@ -105,7 +109,7 @@ def _texts(df: DataFrame) -> list[str]:
     return [c for c in texts if c not in (*KEYS, "label")]
 
 
-def full_load(raw: DataFrame, target: str, model_path: str, keys: Sequence[str] = (), **fit: str) -> int:
+def full_load(raw: DataFrame, target: str, model_path: str, keys: Sequence[str] = (), **fit: Any) -> int:
     """Fit, rewrite the feature table, save the models; returns the rows written."""
     rows = project_features(raw, keys=keys)
     fitted = Preprocessor.fit(rows, **fit)
@@ -121,7 +125,7 @@ def incremental_load(
     model_path: str,
     keys: Sequence[str] = tuple(KEYS),
     null_safe: bool = True,
-    **fit: str,
+    **fit: Any,
 ) -> int:
     """Append the loans not yet in the feature table, coded by the models saved by the full load.
 

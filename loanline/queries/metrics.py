@@ -11,7 +11,7 @@ from loanline.operators.scoring import inference_rows, risk_rows
 from loanline.plans.lifecycle import store_uat, uat_rows
 from loanline.queries.standins import NOW_TEXT, now, oracle, scores, table
 from loanline.schemas import FEATURES, UAT_RESULTS
-from loanline.sources import require_columns, scan, work_folder
+from loanline.sources import read_buckets, require_columns, work_folder
 
 
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def uat_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     store_uat(rows, target)
     fields = {f.name: f for f in UAT_RESULTS.fields}
     types = ", ".join(f"`{n}` {'timestamp_ntz' if n == 'timestamp' else f.dataType.simpleString()}" for n, f in fields.items())
-    return scan(spark, target, types)
+    return read_buckets(spark, target, types)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ from loanline.sources import (
     create_if_missing,
     overwrite,
     project_features,
+    read_buckets,
     read_evolved,
-    replace_keys,
+    replace_in_buckets,
     scan,
     work_folder,
 )
@@ -63,12 +64,11 @@ def keyed_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("lang").alias("model_name"), F.col("source").alias("model_version"), "n_chars"
     )
     found = [F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("characters")]
-    replace_keys(sources.groupBy(*keys).agg(*found), target, keys)
+    replace_in_buckets(sources.groupBy(*keys).agg(*found), target, keys)
     labelled = sources.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
     for _ in range(2):  # a rerun changes nothing
-        replace_keys(labelled.groupBy(*keys).agg(*found), target, keys)
-    schema = "documents bigint, characters bigint, model_name string, model_version string"
-    return scan(spark, target, schema)
+        replace_in_buckets(labelled.groupBy(*keys).agg(*found), target, keys)
+    return read_buckets(spark, target)
 
 
 def rows_written(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,13 @@ def _save(writer: DataFrameWriter, target: str) -> None:
     writer.save(target) if "/" in target else writer.saveAsTable(target)
 
 
-def scan(spark: SparkSession, target: str, schema: StructType | None = None, fmt: str = "parquet") -> DataFrame:
+def scan(spark: SparkSession, target: str, schema: StructType | str | None = None, fmt: str = "parquet") -> DataFrame:
+    """All rows; ``schema`` names the columns wanted, in order, and their types. Absent ones are null."""
     if "/" not in target:
-        return spark.read.table(target)
+        whole = spark.read.table(target)
+        if schema is None:
+            return whole
+        return whole.to(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
     reader = spark.read.format(fmt)
     return (reader.schema(schema) if schema else reader).load(target)
 

@@ -53,6 +53,15 @@ def test_create_if_missing_keeps_rows(spark, target):
     assert scan(spark, target, ALIASES).count() == 1
 
 
+def test_scan_of_a_catalog_table_takes_the_schema(spark):
+    spark.sql("DROP TABLE IF EXISTS scanned_by_schema")
+    append(spark.createDataFrame([(1, "a")], "id int, x string"), "scanned_by_schema")
+    found = scan(spark, "scanned_by_schema", "x string, id long, y double")
+    assert found.schema.simpleString() == "struct<x:string,id:bigint,y:double>"
+    assert _rows(found) == [("a", 1, None)]
+    spark.sql("DROP TABLE scanned_by_schema")
+
+
 def test_replace_keys(spark, target):
     schema = "version int, model_name string, alias string"
     keys = ["model_name", "alias"]
