@@ -106,7 +106,7 @@ def accept_in_order(candidates: DataFrame, tolerance: float = TOLERANCE) -> Data
     for c, v in zip(cells, values, strict=True):
         looking = looking.withColumn(c, F.explode(F.array_distinct(F.array(F.floor((v - reach) / width), F.floor((v + reach) / width)))))
     occupied = firsts.select(F.col("node").alias("reached")).distinct()
-    links = looking.select("node", node.alias("reached")).distinct().join(occupied, "reached", "left_semi").select("node", "reached")
+    links = looking.select("node", node.alias("reached")).filter("node <> reached").distinct().join(occupied, "reached", "left_semi").select("node", "reached")
     parts = connected_components(links)
     group = (
         firsts.join(parts, "node", "left")
