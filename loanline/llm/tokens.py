@@ -2,8 +2,7 @@
 
 Documents are read in blocks. A block has its distinct pre-tokens and, for each document, how often it has which. The
 pre-tokens of all blocks meet in one shuffle, where each distinct one is tokenized once; the counts are joined back to
-the blocks, and each document's count is the sum of its frequencies times them. Pre-tokens that are one piece by
-themselves, at most as many as the vocabulary has, need not be sent.
+the blocks, and each document's count is the sum of its frequencies times them. Only special strings are counted in place.
 """
 
 from __future__ import annotations
@@ -76,14 +75,11 @@ class PreTokens:
         with open(path, encoding="utf-8") as file:
             setup = json.load(file)
         self.short = all(setup.get(part) == setting for part, setting in _SHORT.items())
-        self.suffix = setup["model"].get("end_of_word_suffix") or ""
         added = self.tokenizer.get_added_tokens_decoder().values()
         odd = [t.content for t in added if t.normalized or t.single_word or t.lstrip or t.rstrip]
         if odd:
             raise ValueError(f"added tokens that are not matched as they stand: {odd}")
         special = [t.content for t in added]
-        self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.whole: dict[str, bool] = {}
         self.remembered = lru_cache(maxsize=1 << 16)(self.pieces)
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
@@ -107,15 +103,6 @@ class PreTokens:
             found.update(self._of(part))
         return found, len(parts) - 1
 
-    def is_one_piece(self, pretoken: str) -> bool:
-        """Whether a plain pre-token is an entry of the vocabulary that the model leaves whole."""
-        if pretoken + self.suffix not in self.vocabulary or not pretoken.isascii():
-            return False
-        found = self.whole.get(pretoken)
-        if found is None:
-            found = self.whole[pretoken] = self.pieces(pretoken) == 1
-        return found
-
     def pieces(self, pretoken: str) -> int:
         """How many tokens a pre-token becomes."""
         model = self.tokenizer.model
@@ -160,8 +147,7 @@ def _blocks(path: str):
             counted, ends, at, times, end = [], [], [], [], 0
             for text in texts:
                 found, special = pretokens(text.as_py() or "")
-                whole = [w for w in found if pretokens.is_one_piece(w)]
-                counted.append(special + sum(map(found.pop, whole)))
+                counted.append(special)
                 end += len(found)
                 ends.append(end)
                 own = np.fromiter((places.setdefault(w, len(places)) for w in found), np.int32, len(found))
