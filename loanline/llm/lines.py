@@ -1,9 +1,11 @@
 """Line dedup: chunks of lines that other documents have too are removed, with DataFrame functions alone.
 
-A chunk is a run of lines that its content closes: from each line on, hashes of lines are gathered until the run has
-more than ``min_words`` words, and likewise backwards from each line. The bounds depend on nothing outside the run, so
-they move with it. Every repeated run of lines that long is a union of such chunks, whatever surrounds it. Chunks are
-matched by the hash over their line hashes, and compared byte by byte before anything is removed.
+A stretch is the shortest run of lines from one line on, or back from it, that has more than ``min_words`` words. A
+rolling hash over the line hashes chooses a boundary in each: the least value inside it. Equal stretches have equal
+boundaries wherever they stand, and neighbouring stretches mostly share theirs, so a text has few. Only boundaries that
+several documents have can lie in a repeated passage; the chunks around those are matched by the hash over all their
+line hashes, and compared byte by byte before anything is removed. A repeated run of lines of more than ``min_words``
+words is a union of stretches, so every one is found, whatever surrounds it.
 """
 
 from __future__ import annotations
@@ -23,11 +25,21 @@ def _words(line: str) -> Column:
     return F.greatest(F.size(parts) - edges, F.lit(0)).cast("long")
 
 
+def rolled(before: Column, hash_: Column) -> Column:
+    """The rolling hash (cyclic polynomial) of two lines: the earlier one's hash turned by a bit, xor the later one's.
+
+    It rolls over two lines, since a stretch may have no more; null where there is no line before.
+    """
+    turned = F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63))
+    return turned.bitwiseXOR(hash_)
+
+
 def line_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, doc_id, hash, low, high, start, length): the chunks of each distinct row of (row, doc_id, text).
+    """(row, doc_id, boundary, hash, low, high, start, length): the chunks of each distinct row of (row, doc_id, text).
 
-    ``low`` and ``high`` are line numbers from 0, both inside; ``start`` (from 1) and ``length`` are in characters.
-    Lines without words are not counted. A text of ``min_words`` words or fewer has no chunk.
+    ``boundary`` is the least rolling hash inside the chunk, of a chunk of one line that line's hash. ``low`` and
+    ``high`` are line numbers from 0, both inside; ``start`` (from 1) and ``length`` are in characters. Lines without
+    words are not counted. A text of ``min_words`` words or fewer has no chunk.
     """
     lines = (
         docs.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -41,12 +53,20 @@ def line_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .withColumn("ends", F.sum(F.col("chars") + 1).over(in_order))
         .filter("words > 0")
         .withColumn("before", F.col("upto") - F.col("words"))
+        .withColumn("rolled", rolled(F.lag("hash").over(in_order), F.col("hash")))
+        .withColumn("rolls", F.lead("rolled").over(in_order))
     )
     ahead = Window.partitionBy("row").orderBy("before").rangeBetween(0, min_words)
     behind = Window.partitionBy("row").orderBy("upto").rangeBetween(-min_words, 0)
+    # the pairs of lines inside a stretch: all but its first line with the one before, all but its last with the next
+    inside = [
+        F.min("rolled").over(Window.partitionBy("row").orderBy("before").rangeBetween(1, min_words)),
+        F.min("rolls").over(Window.partitionBy("row").orderBy("upto").rangeBetween(-min_words, -1)),
+    ]
     begins = F.col("ends") - F.col("chars")
     runs = [
         F.struct(
+            F.coalesce(least, F.col("hash")).alias("boundary"),
             F.xxhash64(F.collect_list("hash").over(w)).alias("hash"),
             F.min("at").over(w).alias("low"),
             F.max("at").over(w).alias("high"),
@@ -54,24 +74,32 @@ def line_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             (F.max("ends").over(w) - F.min(begins).over(w)).alias("length"),
             F.sum("words").over(w).alias("words"),
         )
-        for w in (ahead, behind)
+        for w, least in zip((ahead, behind), inside, strict=True)
     ]
     return (
         lines.select("row", "doc_id", runs[0].alias("forward"), runs[1].alias("backward"))
         .select("row", "doc_id", F.explode(F.array_distinct(F.array("forward", "backward"))).alias("run"))
         .filter(F.col("run.words") > min_words)
-        .select("row", "doc_id", "run.hash", "run.low", "run.high", "run.start", "run.length")
+        .select("row", "doc_id", "run.boundary", "run.hash", "run.low", "run.high", "run.start", "run.length")
         .distinct()
     )
 
 
-def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """The chunks whose hash several documents have, with ``own``: whether the smallest of these doc_ids has it."""
-    seen = chunks.groupBy("hash").agg(
+def _several(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, least): the values that several documents have, at least one of them named, and the smallest doc_id."""
+    seen = chunks.groupBy(key).agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.col("doc_id").isNull()).alias("unnamed")
     )
-    several = seen.filter((F.col("least") < F.col("most")) | (F.col("unnamed") & F.col("least").isNotNull())).select("hash", "least")
-    return chunks.join(several, "hash").withColumn("own", F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False)))
+    return seen.filter((F.col("least") < F.col("most")) | (F.col("unnamed") & F.col("least").isNotNull())).select(key, "least")
+
+
+def repeated_chunks(chunks: DataFrame) -> DataFrame:
+    """The chunks whose hash several documents have, with ``own``: whether the smallest of these doc_ids has it.
+
+    Looked for around the boundaries that several documents have alone, which loses none: equal chunks have one boundary.
+    """
+    near = chunks.join(_several(chunks, "boundary"), "boundary", "left_semi").drop("boundary")
+    return near.join(_several(near, "hash"), "hash").withColumn("own", F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False)))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -90,3 +90,25 @@ def test_dropping(spark):
 
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_boundaries_move_with_their_passage(spark):
+    """A passage of over 50 words has one boundary at least that does not depend on where it stands, and few in all."""
+    draw = random.Random(4)
+    line = lambda n: " ".join(f"w{draw.randrange(5000)}" for _ in range(n))
+    passages = [[line(n) for n in sizes] for sizes in ([51], [26, 25], [3] * 18, [10] * 30, [1] * 60)]
+    rows = []
+    for i, passage in enumerate(passages):
+        for copy in range(3):
+            rows.append((10 * i + copy, "\n".join([line(draw.randrange(1, 40)) for _ in range(40)] + passage + [line(9) for _ in range(copy)])))
+    rows.append((900, "\n".join(line(5) for _ in range(2000))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", module.F.col("doc_id").cast("string"))
+    chunks = module.line_chunks(frame)
+    found = {}
+    for r in chunks.collect():
+        found.setdefault(r.doc_id, set()).add(r.boundary)
+    for i in range(len(passages)):
+        assert found[10 * i] & found[10 * i + 1] & found[10 * i + 2]
+    assert len(found[900]) < 2000 / 3  # two of the ten or eleven lines of a stretch, as for any least value of a window
+    repeated = {r.doc_id for r in module.repeated_chunks(chunks).collect()}
+    assert repeated == {10 * i + copy for i in range(len(passages)) for copy in range(3)}
