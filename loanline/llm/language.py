@@ -1,36 +1,40 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a run of letters in both directions and labels every position; a document's probability
-of a language is the mean over all its positions. The state starts anew at each run, so equal runs share their labels
-and are read once per task. It is trained in numpy by backpropagation through time, on a bounded sample.
+The network reads the bytes of a text in both directions, words and what stands between them, and labels every position;
+a document's probability of a language is the mean over all positions of its letters. A text is read in stretches of
+``SPAN`` bytes: a stretch begins ``OVERLAP`` bytes before the first and ends as many after the last position that is
+labelled from it, so that each position has been led up to from both sides. It is trained in numpy by backpropagation
+through time, on a bounded sample.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanline.llm.text import fold_of, steps
+from loanline.llm.text import fold_of, raw_bytes, steps
 
-#: Labelled rows of each language that are fitted on, the length in characters up to which a text can be one of them,
-#: and the runs of letters drawn from them.
-SAMPLE = 300
+#: Labelled texts that are fitted on, in all (about, by hash, in equal parts by language), the length in characters up to
+#: which a text can be one of them, and the stretches drawn from them and their bytes.
+SAMPLE = 1600
 SAMPLE_CHARS = 20_000
-SAMPLE_RUNS = 4000
-#: Bytes of a run; a longer one is read in pieces.
-RUN = 24
+FIT_STRETCHES = 4000
+FIT_SPAN = 96
+#: Bytes of a stretch that is read, and how many of them at an inner end only lead up to the labelled ones.
+SPAN = 256
+OVERLAP = 32
+#: Stretches that are read side by side.
+ROWS = 512
 HIDDEN = 12
-#: Distinct runs whose labels a task remembers.
-REMEMBERED = 400_000
 UNKNOWN = "und"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of letters: ASCII letters and all bytes of code points beyond.
+LETTER = np.array([chr(i).isalpha() or i > 127 for i in range(128)] + [True] * 128)
 
 
 @dataclass
@@ -55,21 +59,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _read(x: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, list]:
-    """States after each byte of the runs (n, length) in one direction, and what the way back needs."""
+def _read(x: np.ndarray, w: np.ndarray, u: np.ndarray, kept: list | None = None, live: np.ndarray | None = None) -> np.ndarray:
+    """States after each byte of the stretches (n, length) in one direction; ``kept`` takes what the way back needs.
+
+    Where ``live`` (n, length) is 0 the state stays empty: bytes that only fill up a shorter stretch are not read.
+    """
     n, length = x.shape
     size = u.shape[0]
     h = np.zeros((n, size), w.dtype)
-    states, kept = np.empty((length, n, size), w.dtype), []
+    states = np.empty((length, n, size), w.dtype)
     for t in range(length):
         from_byte, from_state = w[x[:, t]], h @ u
         gates = _sigmoid(from_byte[:, : 2 * size] + from_state[:, : 2 * size])
         z, r = gates[:, :size], gates[:, size:]
         c = np.tanh(from_byte[:, 2 * size :] + r * from_state[:, 2 * size :])
-        kept.append((h, z, r, c, from_state[:, 2 * size :]))
-        h = z * h + (1 - z) * c
+        if kept is not None:
+            kept.append((h, z, r, c, from_state[:, 2 * size :]))
+        h = c + z * (h - c)
+        if live is not None:
+            h *= live[:, t, None]
         states[t] = h
-    return states, kept
+    return states
 
 
 def _read_back(x: np.ndarray, u: np.ndarray, kept: list, slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,20 +101,26 @@ def _read_back(x: np.ndarray, u: np.ndarray, kept: list, slopes: np.ndarray) ->
     return dw, du
 
 
-def labels_of(model: Model, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Probabilities (length, n, languages) of each position of runs of one length."""
-    ahead, kept_a = _read(x, model.inputs[0], model.states[0])
-    behind, kept_b = _read(x[:, ::-1], model.inputs[1], model.states[1])
+def labels_of(model: Model, x: np.ndarray, sizes: np.ndarray | None = None, kept: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities (length, n, languages) of each position of the stretches (n, length), and the states they come from.
+
+    ``sizes``: how many bytes of each stretch are its own, where some are filled up.
+    """
+    live = None if sizes is None else (np.arange(x.shape[1]) < sizes[:, None])[:, ::-1]
+    one, two = kept or (None, None)
+    ahead = _read(x, model.inputs[0], model.states[0], one)
+    behind = _read(x[:, ::-1], model.inputs[1], model.states[1], two, live)
     both = np.concatenate([ahead, behind[::-1]], axis=2)
     scores = both @ model.output + model.bias
     scores -= scores.max(axis=2, keepdims=True)
     p = np.exp(scores)
-    return p / p.sum(axis=2, keepdims=True), (both, kept_a, kept_b)
+    return p / p.sum(axis=2, keepdims=True), both
 
 
 def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross entropy of all positions and its gradients: inputs, states (each of two directions), output, bias."""
-    p, (both, kept_a, kept_b) = labels_of(model, x)
+    kept_a, kept_b = [], []
+    p, both = labels_of(model, x, kept=(kept_a, kept_b))
     length, n, _ = p.shape
     loss = -float(np.log(np.maximum(p[:, np.arange(n), y], 1e-12)).mean())
     d = p.copy()
@@ -118,20 +134,17 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, list[n
     return loss, [dw_a, dw_b, du_a, du_b, flat.T @ d.reshape(-1, d.shape[2]), d.sum((0, 1))]
 
 
-def _pieces(run: str) -> list[bytes]:
-    raw = run.encode("utf-8", "replace")
-    return [raw[i : i + RUN] for i in range(0, len(raw), RUN)]
-
-
 def fit(texts: list[str], langs: list[str], passes: int = 8, batch: int = 128) -> Model | None:
-    """A network trained by Adam on runs of letters of the texts, as many from each language."""
+    """A network trained by Adam on stretches of the texts that hold a letter, as many from each language."""
     names = sorted(set(langs))
     draw = np.random.default_rng(11)
     by_length: dict[int, list[tuple[bytes, int]]] = {}
     for number, name in enumerate(names):
-        runs = [r for text, lang in zip(texts, langs, strict=True) if lang == name for r in LETTERS.findall(text or "")]
-        for i in draw.permutation(len(runs))[:SAMPLE_RUNS]:
-            for piece in _pieces(runs[i]):
+        raw = [(text or "").encode("utf-8", "replace") for text, lang in zip(texts, langs, strict=True) if lang == name]
+        places = [(r, i) for r in raw for i in range(0, max(len(r) - FIT_SPAN, 0) + 1, FIT_SPAN)]
+        for k in draw.permutation(len(places))[: max(FIT_STRETCHES // len(names), 1)]:
+            piece = places[k][0][places[k][1] : places[k][1] + FIT_SPAN]
+            if LETTER[np.frombuffer(piece, np.uint8)].any():
                 by_length.setdefault(len(piece), []).append((piece, number))
     if not by_length:
         return None
@@ -159,75 +172,85 @@ def fit(texts: list[str], langs: list[str], passes: int = 8, batch: int = 128) -
     return model
 
 
-class Reader:
-    """Labels whole texts; what it has read of a run is remembered."""
-
-    def __init__(self, model: Model | None) -> None:
-        self.model = model
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.sums = np.zeros((0, len(self.model.names) if self.model else 0))
-        self.positions = np.zeros(0)
-
-    def _learn(self, runs: list[str]) -> None:
-        """Sums of the position labels of new runs, and their numbers of positions."""
-        pieces = [(i, piece) for i, run in enumerate(runs) for piece in _pieces(run)]
-        owner, lengths = np.array([i for i, _ in pieces]), np.array([len(p) for _, p in pieces])
-        sums = np.zeros((len(runs), len(self.model.names)))
-        for length in np.unique(lengths):
-            at = np.flatnonzero(lengths == length)
-            for part in np.array_split(at, -(-len(at) // 20_000)):
-                x = np.frombuffer(b"".join(pieces[i][1] for i in part), np.uint8).reshape(-1, length)
-                np.add.at(sums, owner[part], labels_of(self.model, x)[0].sum(0))
-        spelt = np.fromiter((any(map(str.isalpha, run)) for run in runs), np.bool_, len(runs))  # not of numerals alone
-        self.sums = np.concatenate([self.sums, sums * spelt[:, None]])
-        self.positions = np.concatenate([self.positions, np.bincount(owner, weights=lengths, minlength=len(runs)) * spelt])
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        found = [LETTERS.findall(t or "") for t in texts]
-        if self.model is None:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if len(self.numbers) > REMEMBERED:
-            self.forget()
-        new = [r for r in dict.fromkeys(r for runs in found for r in runs) if r not in self.numbers]
-        if new:
-            self.numbers |= {r: len(self.numbers) + i for i, r in enumerate(new)}
-            self._learn(new)
-        names, scores = [], []
-        for runs in found:
-            ids = np.fromiter(map(self.numbers.__getitem__, runs), np.int64, len(runs))
-            positions = self.positions[ids].sum()
-            if not positions:
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            mean = self.sums[ids].sum(0) / positions
-            names.append(self.model.names[int(mean.argmax())])
-            scores.append(float(min(1.0, mean.max())))
-        return names, scores
+def stretches(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, first, past) of each stretch of texts of so many bytes: every byte is in one [first, past) alone."""
+    extra = np.maximum(sizes - SPAN, 0)
+    counts = np.where(sizes > 0, 1 - (-extra // (SPAN - 2 * OVERLAP)), 0)
+    text = np.repeat(np.arange(len(sizes)), counts)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    begin = np.minimum(number * (SPAN - 2 * OVERLAP), extra[text])
+    first = np.where(number > 0, begin + OVERLAP, 0)
+    last = number == counts[text] - 1
+    past = np.where(last, sizes[text], np.roll(first, -1))
+    return text, begin, first, past
+
+
+def read_texts(model: Model | None, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """The language of each text and its probability; 'und' and 0 where there is no letter."""
+    if model is None:
+        return [UNKNOWN] * len(texts), [0.0] * len(texts)
+    data, begins = raw_bytes(texts)
+    sizes = np.diff(begins)
+    text, begin, first, past = stretches(sizes)
+    sums, letters = np.zeros((len(texts), len(model.names))), np.zeros(len(texts))
+    order = np.argsort(np.minimum(sizes, SPAN)[text], kind="stable")  # stretches side by side are about as long
+    for block in np.array_split(order, -(-len(order) // ROWS)) if len(order) else []:
+        own = np.minimum(sizes[text[block]], SPAN)
+        place = np.arange(own.max())
+        at = begin[block, None] + place
+        counted = (at >= first[block, None]) & (at < past[block, None])
+        x = data[np.minimum(begins[text[block], None] + at, len(data) - 1)]
+        counted &= LETTER[x]
+        p, _ = labels_of(model, x, None if own.min() == own.max() else own)
+        np.add.at(sums, text[block], np.einsum("tnk,nt->nk", p, counted.astype(p.dtype)))
+        np.add.at(letters, text[block], counted.sum(1))
+    names, scores = [], []
+    for i, n in enumerate(letters):
+        # a byte beyond ASCII may be of a sign or numeral: only a text of such alone is looked at by code point
+        spelt = n and (_ascii_letter(data[begins[i] : begins[i + 1]]) or any(map(str.isalpha, texts[i].as_py())))
+        best = int(sums[i].argmax())
+        names.append(model.names[best] if spelt else UNKNOWN)
+        scores.append(float(min(1.0, sums[i, best] / n)) if spelt else 0.0)
+    return names, scores
+
+
+def _ascii_letter(data: np.ndarray) -> bool:
+    start, step = 0, 256  # nearly always among the first bytes
+    while start < len(data):
+        part = data[start : start + step]
+        if (LETTER[part] & (part < 128)).any():
+            return True
+        start, step = start + step, 2 * step
+    return False
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """A network from the rows whose fold is not 0 and whose ``lang`` is not null; None if they have no letter.
 
-    Fitted on the SAMPLE rows of each language whose hash is least among texts of at most SAMPLE_CHARS characters.
+    Fitted on about SAMPLE distinct texts of at most SAMPLE_CHARS characters, in equal parts by language: of each
+    language those whose hash lies in a share of its range, all if there are fewer. Texts are counted and filtered
+    where they are; none are put in order. With more than SAMPLE languages some are not learned.
     """
     body, name = F.col(f"`{text}`"), F.col(f"`{lang}`")
     usable = docs.filter(body.isNotNull() & name.isNotNull() & (fold_of(f"`{doc_id}`") != 0) & (F.length(body) <= SAMPLE_CHARS))
-    keys = usable.select(name.alias("__lang"), F.xxhash64(F.col(f"`{doc_id}`"), body).alias("__hash"))
-    rank = F.row_number().over(Window.partitionBy("__lang").orderBy("__hash"))
-    chosen = keys.distinct().withColumn("__rank", rank).filter(F.col("__rank") <= SAMPLE).select("__lang", "__hash")
-    marked = usable.withColumn("__hash", F.xxhash64(F.col(f"`{doc_id}`"), body)).withColumn("__lang", name)
+    usable = usable.select(name.cast("string").alias("lang"), body.alias("text"), F.xxhash64(body).alias("hash"))
+    keys = usable.select("lang", "hash").distinct()
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = max(counts.count(), 1)
+    share = F.lit(SAMPLE / languages) / F.col("n")
+    chosen = (
+        keys.join(counts, "lang")
+        .filter((share >= 1) | (F.shiftrightunsigned("hash", 1) < share * 2.0**63))
+        .select("lang", "hash")
+    )
     sample = (
-        marked.join(F.broadcast(chosen), ["__lang", "__hash"], "left_semi")  # SAMPLE rows of each language
-        .groupBy(F.col("__lang").alias("lang"), "__hash")
-        .agg(F.min(body).alias("text"))  # repeated rows once
+        usable.join(F.broadcast(chosen), ["lang", "hash"], "left_semi")  # about SAMPLE rows
+        .groupBy("lang", "hash")
+        .agg(F.min("text").alias("text"))  # repeated rows once
         .toPandas()
-        .sort_values(["lang", "__hash"])
+        .sort_values(["lang", "hash"])
     )
-    return fit(sample["text"].tolist(), sample["lang"].astype(str).tolist())
+    return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
 def with_language(docs: DataFrame, model: Model | None, text: str = "text", name: str = "language") -> DataFrame:
@@ -236,11 +259,10 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", name
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def language(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        reader = Reader(shared.value)
         for array in texts:
             langs, scores = [], []
             for part in steps(iter([pa.record_batch([array], names=["text"])])):
-                found, values = reader(part.column(0).to_pylist())
+                found, values = read_texts(shared.value, part.column(0))
                 langs += found
                 scores += values
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
