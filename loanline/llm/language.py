@@ -26,7 +26,7 @@ SAMPLE_CHARS = 20_000
 FIT_STRETCHES = 4000
 FIT_SPAN = 96
 #: Bytes of a stretch that is read, and how many of them at an inner end only lead up to the labelled ones.
-SPAN = 256
+SPAN = 512
 OVERLAP = 32
 #: Stretches that are read side by side.
 ROWS = 512
@@ -59,26 +59,53 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _read(x: np.ndarray, w: np.ndarray, u: np.ndarray, kept: list | None = None, live: np.ndarray | None = None) -> np.ndarray:
-    """States after each byte of the stretches (n, length) in one direction; ``kept`` takes what the way back needs.
-
-    Where ``live`` (n, length) is 0 the state stays empty: bytes that only fill up a shorter stretch are not read.
-    """
+def _read(x: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, list]:
+    """States after each byte of the runs (n, length) in one direction, and what the way back needs."""
     n, length = x.shape
     size = u.shape[0]
     h = np.zeros((n, size), w.dtype)
-    states = np.empty((length, n, size), w.dtype)
+    states, kept = np.empty((length, n, size), w.dtype), []
     for t in range(length):
         from_byte, from_state = w[x[:, t]], h @ u
         gates = _sigmoid(from_byte[:, : 2 * size] + from_state[:, : 2 * size])
         z, r = gates[:, :size], gates[:, size:]
         c = np.tanh(from_byte[:, 2 * size :] + r * from_state[:, 2 * size :])
-        if kept is not None:
-            kept.append((h, z, r, c, from_state[:, 2 * size :]))
-        h = c + z * (h - c)
+        kept.append((h, z, r, c, from_state[:, 2 * size :]))
+        h = z * h + (1 - z) * c
+        states[t] = h
+    return states, kept
+
+
+def _states(x: np.ndarray, w: np.ndarray, u: np.ndarray, live: np.ndarray | None) -> np.ndarray:
+    """The states of ``_read`` alone, in place: the three gates apart, each in memory of its own.
+
+    Where ``live`` (n, length) is 0 the state stays empty: bytes that only fill up a shorter stretch are not read.
+    """
+    n, length = x.shape
+    size = u.shape[0]
+    scale = (0.5, 0.5, 1.0)  # a sigmoid is a tanh of half
+    inputs = [np.ascontiguousarray(w[:, k * size : (k + 1) * size] * scale[k]) for k in range(3)]
+    weights = [np.ascontiguousarray(u[:, k * size : (k + 1) * size] * scale[k]) for k in range(3)]
+    columns = np.ascontiguousarray(x.T).astype(np.intp)
+    states = np.empty((length, n, size), w.dtype)
+    h = np.zeros((n, size), w.dtype)
+    z, r, c, part = (np.empty_like(h) for _ in range(4))
+    for t in range(length):
+        for k, gate in enumerate((z, r)):
+            np.take(inputs[k], columns[t], 0, gate, "clip")
+            gate += np.matmul(h, weights[k], part)
+            np.tanh(gate, gate)
+            gate *= 0.5
+            gate += 0.5
+        np.take(inputs[2], columns[t], 0, c, "clip")
+        r *= np.matmul(h, weights[2], part)
+        c += r
+        np.tanh(c, c)
+        h = np.subtract(h, c, states[t])
+        h *= z
+        h += c
         if live is not None:
             h *= live[:, t, None]
-        states[t] = h
     return states
 
 
@@ -101,26 +128,29 @@ def _read_back(x: np.ndarray, u: np.ndarray, kept: list, slopes: np.ndarray) ->
     return dw, du
 
 
-def labels_of(model: Model, x: np.ndarray, sizes: np.ndarray | None = None, kept: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities (length, n, languages) of each position of the stretches (n, length), and the states they come from.
-
-    ``sizes``: how many bytes of each stretch are its own, where some are filled up.
-    """
-    live = None if sizes is None else (np.arange(x.shape[1]) < sizes[:, None])[:, ::-1]
-    one, two = kept or (None, None)
-    ahead = _read(x, model.inputs[0], model.states[0], one)
-    behind = _read(x[:, ::-1], model.inputs[1], model.states[1], two, live)
-    both = np.concatenate([ahead, behind[::-1]], axis=2)
-    scores = both @ model.output + model.bias
+def _softmax(scores: np.ndarray) -> np.ndarray:
     scores -= scores.max(axis=2, keepdims=True)
-    p = np.exp(scores)
-    return p / p.sum(axis=2, keepdims=True), both
+    np.exp(scores, scores)
+    scores /= scores.sum(axis=2, keepdims=True)
+    return scores
+
+
+def labels_of(model: Model, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Probabilities (length, n, languages) of each position of stretches (n, length) of which ``sizes`` bytes are read."""
+    length, size = x.shape[1], model.states[0].shape[0]
+    live = None if sizes.min() == length else (np.arange(length) < sizes[:, None])[:, ::-1]
+    scores = _states(x, model.inputs[0], model.states[0], None) @ model.output[:size]
+    scores += (_states(x[:, ::-1], model.inputs[1], model.states[1], live) @ model.output[size:])[::-1]
+    scores += model.bias
+    return _softmax(scores)
 
 
 def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross entropy of all positions and its gradients: inputs, states (each of two directions), output, bias."""
-    kept_a, kept_b = [], []
-    p, both = labels_of(model, x, kept=(kept_a, kept_b))
+    ahead, kept_a = _read(x, model.inputs[0], model.states[0])
+    behind, kept_b = _read(x[:, ::-1], model.inputs[1], model.states[1])
+    both = np.concatenate([ahead, behind[::-1]], axis=2)
+    p = _softmax(both @ model.output + model.bias)
     length, n, _ = p.shape
     loss = -float(np.log(np.maximum(p[:, np.arange(n), y], 1e-12)).mean())
     d = p.copy()
@@ -201,7 +231,7 @@ def read_texts(model: Model | None, texts: pa.Array) -> tuple[list[str], list[fl
         counted = (at >= first[block, None]) & (at < past[block, None])
         x = data[np.minimum(begins[text[block], None] + at, len(data) - 1)]
         counted &= LETTER[x]
-        p, _ = labels_of(model, x, None if own.min() == own.max() else own)
+        p = labels_of(model, x, own)
         np.add.at(sums, text[block], np.einsum("tnk,nt->nk", p, counted.astype(p.dtype)))
         np.add.at(letters, text[block], counted.sum(1))
     names, scores = [], []
