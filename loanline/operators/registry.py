@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ DUPLICATE = "Duplicate metrics+params → skipped"
 # Cells take all compared metrics; at this many tolerances a run reaches one or two cells of a metric.
 CELL_METRICS = len(COMPARED_METRICS)
 CELL_WIDTH = 8.4
+#: A fold compares each run with all it accepted, so it takes few; a slab finds them by their cells.
+FOLD_RUNS, SLAB_RUNS = 200, 100_000
 
 
 def compared(metrics: Sequence[str] = COMPARED_METRICS) -> Column:
@@ -87,13 +93,13 @@ def _turn(primary: str) -> Column:
     return F.struct(value.isNull().alias("unmeasured"), (-value).alias("worse"), "start_time", "run_id")
 
 
-def accept_in_order(candidates: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+def accept_in_order(candidates: DataFrame, tolerance: float = TOLERANCE, slab_runs: int = SLAB_RUNS) -> DataFrame:
     """Of runs with equal (model_name, params_json), those not near one accepted before them.
 
     Order matters because nearness is not transitive; ``turn`` gives it. Of equal metric values only the first run can
     be accepted, so copies are reduced first. Occupied cells that a run of another one may reach are linked, and their
     connected components, whose number of rounds grows with the logarithm of a chain, divide a group: runs of different
-    components are never near. Each component is then decided by one fold in order.
+    components are never near. A component of up to FOLD_RUNS is decided by one fold in order, a larger one slab by slab.
     """
     keys = ["model_name", "params_json"]
     firsts = candidates.groupBy(*keys, "compared").agg(F.min("turn").alias("turn"))
@@ -108,11 +114,12 @@ def accept_in_order(candidates: DataFrame, tolerance: float = TOLERANCE) -> Data
     occupied = firsts.select(F.col("node").alias("reached")).distinct()
     links = looking.select("node", node.alias("reached")).filter("node <> reached").distinct().join(occupied, "reached", "left_semi").select("node", "reached")
     parts = connected_components(links)
-    group = (
-        firsts.join(parts, "node", "left")
-        .groupBy(*keys, F.coalesce("component", "node").alias("component"))
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "compared"))).alias("runs"))
-    )
+    by = [*keys, "component"]
+    placed = firsts.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = stored(placed.select(*by, "turn", "compared"), "placed")
+    large = broadcast_if_small(placed.groupBy(*by).count().filter(F.col("count") > FOLD_RUNS).select(*by))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by]
+    group = placed.alias("p").join(large.alias("l"), same, "left_anti").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("turn", "compared"))).alias("runs"))
     none = F.filter("runs", lambda r: F.lit(False))
     accepted = F.aggregate(
         "runs",
@@ -121,7 +128,89 @@ def accept_in_order(candidates: DataFrame, tolerance: float = TOLERANCE) -> Data
             F.exists(kept, lambda k: _near(k["compared"], run["compared"], tolerance)), kept
         ).otherwise(F.concat(kept, F.array(run))),
     )
-    return group.select("model_name", F.explode(F.transform(accepted, lambda r: r["turn"]["run_id"])).alias("run_id"))
+    folded = group.select("model_name", F.explode(F.transform(accepted, lambda r: r["turn"]["run_id"])).alias("run_id"))
+    return folded.unionByName(_accept_by_slabs(placed.alias("p").join(large.alias("l"), same, "left_semi"), by, tolerance, slab_runs))
+
+
+def _accept_by_slabs(runs: DataFrame, by: list[str], tolerance: float, slab_runs: int) -> DataFrame:
+    """The accepted runs of large components, each cut into slabs along its widest metric.
+
+    A slab is decided in order beside the runs of its neighbours that are in reach of it. A run waits while one of these,
+    earlier and near, is not decided; a round decides at least the first run that waits, and as a rule a slab of each
+    component. So a task has a slab and its edges, and no run is decided before those it depends on.
+    """
+    spark, width, reach = runs.sparkSession, CELL_WIDTH * tolerance or 1.0, 1.01 * tolerance
+    runs = number_in_order(runs.withColumn("part", F.struct(*by)), "part", "turn").drop("part")
+    runs = stored(runs.select(*by, "number", F.col("turn.run_id").alias("run_id"), "compared"), "numbered")
+    if runs.isEmpty():
+        return runs.select("model_name", "run_id")
+    values = [F.coalesce(F.get("compared", F.lit(i)), F.lit(0.0)) for i in range(CELL_METRICS)]
+    spans = [F.struct((F.max(v) - F.min(v)).alias("span"), F.lit(i).alias("axis")) for i, v in enumerate(values)]
+    widest = broadcast_if_small(runs.groupBy(*by).agg(F.greatest(*spans)["axis"].alias("axis")))
+    runs = _on_equal(runs, widest, by).withColumn("value", F.coalesce(F.get("compared", "axis"), F.lit(0.0)))
+    own = F.floor(F.col("value") / width).alias("cell")
+    counts = runs.groupBy(*by, own).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    # The occupied cells of one metric, not the runs, are put in order; a slab takes whole cells, so only edges are shared.
+    slabs = broadcast_if_small(counts.select(*by, "cell", F.floor(F.coalesce(upto, F.lit(0)) / slab_runs).alias("slab")))
+    near = [F.floor((F.col("value") + step) / width) for step in (0.0, -reach, reach)]
+    seen = runs.select(*by, "number", "run_id", "compared", F.posexplode(F.array(*near)).alias("step", "cell"))
+    seen = _on_equal(seen, slabs, [*by, "cell"]).groupBy(*by, "number").agg(
+        F.first("run_id").alias("run_id"),
+        F.first("compared").alias("compared"),
+        F.max(F.when(F.col("step") == 0, F.col("slab"))).alias("slab"),
+        F.collect_set("slab").alias("slabs"),
+    )
+    state = stored(seen.withColumn("accepted", F.lit(False)), "waiting")
+    step, schema, decided = _slab_step(tolerance, width, reach), state.schema, []
+    while not (waiting := state.filter("NOT accepted")).isEmpty():
+        open_slabs = broadcast_if_small(waiting.select(*by, F.col("slab").alias("at")).distinct())
+        known = waiting.unionByName(reduce(DataFrame.unionByName, decided)) if decided else waiting
+        meeting = _on_equal(known.withColumn("at", F.explode("slabs")), open_slabs, [*by, "at"])
+        state = stored(meeting.groupBy(*by, "at").applyInPandas(step, schema), "waiting")
+        decided.append(state.filter("accepted"))
+    return reduce(DataFrame.unionByName, decided).select("model_name", "run_id")
+
+
+def _on_equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An inner join where null equals null, with the keys once."""
+    condition = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    more = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return left.alias("l").join(right.alias("r"), condition).select("l.*", *more)
+
+
+def _slab_step(tolerance: float, width: float, reach: float):
+    """Decide what can be decided of a slab: returns its runs that are newly accepted and those that still wait."""
+
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        def cell(value: float) -> int:
+            return math.floor(value / width) if math.isfinite(value) else 0
+
+        def meets(places: dict, run: list[float]) -> bool:
+            sides = [{cell(x - reach), cell(x + reach)} for x in run]
+            found = (k for at in itertools.product(*sides) for k in places.get(at, ()))
+            return any(all(abs(x - y) <= tolerance for x, y in zip(k, run, strict=True)) for k in found)
+
+        kept, waits, states = {}, {}, []
+        rows = rows.sort_values(["accepted", "number"], ascending=[False, True], ignore_index=True)
+        own = (rows["slab"] == rows["at"]).to_numpy()
+        for known, mine, values in zip(rows["accepted"], own, rows["compared"], strict=True):
+            run = [float(x) for x in values]
+            if known:
+                kept.setdefault(tuple(map(cell, run)), []).append(run)
+                states.append(None)
+            elif meets(kept, run):
+                states.append(None)
+            elif not mine or meets(waits, run):
+                waits.setdefault(tuple(map(cell, run)), []).append(run)
+                states.append(False if mine else None)
+            else:
+                kept.setdefault(tuple(map(cell, run)), []).append(run)
+                states.append(True)
+        told = [s is not None for s in states]
+        return rows[told].assign(accepted=[s for s in states if s is not None]).drop(columns="at")
+
+    return step
 
 
 def register_decisions(

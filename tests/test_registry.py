@@ -245,3 +245,19 @@ def test_logged_runs_do_not_use_up_a_limit(spark):
     runs = _runs(spark, [(f"r{i}", {"test_recall": 0.9 - i / 100}, {"p": str(i)}) for i in range(8)])
     found = _decide(spark, runs, logged=[f"r{i}" for i in range(5)], limit=2)
     assert {k for k, (o, _) in found.items() if o == "registered"} == {"r5", "r6"}
+
+def test_large_components_are_decided_slab_by_slab(spark):
+    """Chains in and against their order and a cloud, in slabs of a few runs, against a plain loop in order."""
+    draw = random.Random(5)
+    chains = [(f"m{step}", [k * step * 0.0006] * 6) for step in (1, -1) for k in range(700)]
+    cloud = [("cloud", [draw.random() / 25, draw.random() / 50, *[0.5] * 4]) for _ in range(1500)]
+    rows = [(name, "{}", v, (draw.random() if name == "cloud" else float(i), f"r{i:05d}")) for i, (name, v) in enumerate([*chains, *cloud])]
+    df = spark.createDataFrame(rows, "model_name string, params_json string, compared array<double>, turn struct<worse: double, run_id: string>")
+    kept, expected = {}, set()
+    for name, _, run, turn in sorted(rows, key=lambda r: r[3]):
+        if not any(all(abs(x - y) <= 0.001 for x, y in zip(k, run)) for k in kept.get(name, [])):
+            kept.setdefault(name, []).append(run)
+            expected.add((name, turn[1]))
+    for slab_runs in (90, 100_000):
+        found = [tuple(r) for r in registry.accept_in_order(df, 0.001, slab_runs).select("model_name", "run_id").collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
