@@ -135,14 +135,22 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return scores
 
 
-def labels_of(model: Model, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Probabilities (length, n, languages) of each position of stretches (n, length) of which ``sizes`` bytes are read."""
+def labels_of(model: Model, x: np.ndarray, sizes: np.ndarray, low: int = 0, high: int | None = None) -> np.ndarray:
+    """Probabilities (length, n, languages) of each position of stretches (n, length) of which ``sizes`` bytes are read.
+
+    Only positions of [low, high) are labelled: reading ahead ends at the last of them, reading back at the first.
+    """
     length, size = x.shape[1], model.states[0].shape[0]
-    live = None if sizes.min() == length else (np.arange(length) < sizes[:, None])[:, ::-1]
-    scores = _states(x, model.inputs[0], model.states[0], None) @ model.output[:size]
-    scores += (_states(x[:, ::-1], model.inputs[1], model.states[1], live) @ model.output[size:])[::-1]
-    scores += model.bias
-    return _softmax(scores)
+    high = length if high is None else high
+    live = None if sizes.min() == length else (np.arange(length) < sizes[:, None])[:, ::-1][:, : length - low]
+    ahead = _states(x[:, :high], model.inputs[0], model.states[0], None)[low:]
+    behind = _states(x[:, low:][:, ::-1], model.inputs[1], model.states[1], live)[::-1][: high - low]
+    scores = np.zeros((length, len(x), len(model.names)), model.output.dtype)
+    wanted = ahead @ model.output[:size]
+    wanted += behind @ model.output[size:]
+    wanted += model.bias
+    scores[low:high] = _softmax(wanted)
+    return scores
 
 
 def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
@@ -223,7 +231,8 @@ def read_texts(model: Model | None, texts: pa.Array) -> tuple[list[str], list[fl
     sizes = np.diff(begins)
     text, begin, first, past = stretches(sizes)
     sums, letters = np.zeros((len(texts), len(model.names))), np.zeros(len(texts))
-    order = np.argsort(np.minimum(sizes, SPAN)[text], kind="stable")  # stretches side by side are about as long
+    # stretches side by side are about as long, and labelled at about the same places
+    order = np.lexsort((past - begin, first - begin, np.minimum(sizes, SPAN)[text]))
     for block in np.array_split(order, -(-len(order) // ROWS)) if len(order) else []:
         own = np.minimum(sizes[text[block]], SPAN)
         place = np.arange(own.max())
@@ -231,7 +240,7 @@ def read_texts(model: Model | None, texts: pa.Array) -> tuple[list[str], list[fl
         counted = (at >= first[block, None]) & (at < past[block, None])
         x = data[np.minimum(begins[text[block], None] + at, len(data) - 1)]
         counted &= LETTER[x]
-        p = labels_of(model, x, own)
+        p = labels_of(model, x, own, int((first - begin)[block].min()), int((past - begin)[block].max()))
         np.add.at(sums, text[block], np.einsum("tnk,nt->nk", p, counted.astype(p.dtype)))
         np.add.at(letters, text[block], counted.sum(1))
     names, scores = [], []

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loanline.llm import language
 from loanline.llm.language import OVERLAP, SPAN, fit, gradients, identify, new_model, read_texts, stretches
 
 
@@ -127,3 +128,18 @@ def test_empty_and_unlabelled(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert identify(none).count() == 0
     assert identify(spark.createDataFrame([(1, "word", None)], "doc_id long, text string, lang string")).first().lang_pred == "und"
+
+
+def test_only_labelled_places_are_read(monkeypatch):
+    model = new_model(["a", "b"])
+    text = "abc def " * 600
+    sizes = np.array([len(text)] * 400)
+    whole, read = language.labels_of, []
+    before = language._states
+    monkeypatch.setattr(language, "_states", lambda x, *rest: read.append(x.size) or before(x, *rest))
+    found = read_texts(model, pa.array([text] * len(sizes)))
+    _, begin, first, past = stretches(sizes)
+    assert 2 * sizes.sum() <= sum(read) < 0.95 * 2 * SPAN * len(begin)
+    monkeypatch.setattr(language, "labels_of", lambda m, x, own, low, high: whole(m, x, own))
+    assert found[0] == read_texts(model, pa.array([text] * len(sizes)))[0]
+    assert found[1] == pytest.approx(read_texts(model, pa.array([text] * len(sizes)))[1], abs=1e-6)
