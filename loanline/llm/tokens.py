@@ -116,27 +116,37 @@ class PreTokens:
         return special + sum(n * self.remembered(pretoken) for pretoken, n in found.items())
 
 
-_INTS = pa.list_(pa.int32())
-_BLOCK = pa.schema(
-    [
-        ("block", pa.int64()),
-        ("doc_ids", pa.list_(pa.string())),
-        ("n_bytes", pa.list_(pa.int64())),
-        ("counted", pa.list_(pa.int64())),
-        ("ends", pa.list_(pa.int64())),
-        ("places", _INTS),  # of each document in order, as differences
-        ("times", _INTS),
-        ("pretokens", pa.list_(pa.string())),
-    ]
-)
-_BLOCK_SQL = (
-    "block long, doc_ids array<string>, n_bytes array<long>, counted array<long>, ends array<long>, places array<int>, "
-    "times array<int>, pretokens array<string>"
-)
+_ZSTD = pa.Codec("zstd", compression_level=1)
+#: Counted pre-tokens that a task gathers before it packs them by block.
+GATHERED = 1 << 20
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, compressed: their bytes by place, so that the empty upper ones take no room."""
+    flat = np.ascontiguousarray(values, np.int32)
+    return len(flat).to_bytes(4, "little") + _ZSTD.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    flat = np.frombuffer(_ZSTD.decompress(packed[4:], 4 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, n).T).view(np.int32).ravel()
+
+
+_DOCS = pa.schema([("doc_id", pa.string()), ("n_bytes", pa.int64()), ("counted", pa.int64()), ("ends", pa.int64())])
+_BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("places", pa.binary()), ("times", pa.binary()), ("pretokens", pa.list_(pa.string()))])
+_BLOCK_SQL = "block long, docs binary, places binary, times binary, pretokens array<string>"
+
+
+def _written(docs: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression=_ZSTD)) as out:
+        out.write_batch(docs)
+    return sink.getvalue().to_pybytes()
 
 
 def _blocks(path: str):
-    """One row for each block of documents."""
+    """One row for each block of documents; but for its pre-tokens it is compressed, since it is held whole where it is joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pretokens = PreTokens(path)
@@ -155,28 +165,42 @@ def _blocks(path: str):
                 at.append(np.diff(own[order], prepend=np.int32(0)))  # small numbers, which compress well
                 times.append(np.fromiter(found.values(), np.int32, len(found))[order])
             sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            row = [first + number, batch.column(0).to_pylist(), sizes.to_pylist(), counted, ends]
-            columns = [pa.array([x], kind) for x, kind in zip(row, _BLOCK.types, strict=False)]
-            columns += [pa.ListArray.from_arrays(pa.array([0, end], pa.int32()), pa.array(np.concatenate(x))) for x in (at, times)]
-            columns.append(pa.array([list(places)], _BLOCK.types[-1]))
-            yield pa.RecordBatch.from_arrays(columns, schema=_BLOCK)
+            docs = pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(counted, pa.int64()), pa.array(ends, pa.int64())], schema=_DOCS)
+            row = [first + number, _written(docs), _packed(np.concatenate(at)), _packed(np.concatenate(times)), list(places)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, _BLOCK.types, strict=True)], schema=_BLOCK)
 
     return run
 
 
+def _by_block(blocks: np.ndarray, places: np.ndarray, pieces: np.ndarray) -> pa.RecordBatch:
+    """A row a block: its places in order, as differences, and the pieces at them."""
+    order = np.lexsort((places, blocks))
+    blocks, places, pieces = blocks[order], places[order], pieces[order]
+    begins = np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1))
+    cut = list(zip(begins, [*begins[1:], len(blocks)], strict=True))
+    packed = [_packed(np.concatenate([np.diff(places[i:j], prepend=np.int32(0)), pieces[i:j]])) for i, j in cut]
+    return pa.RecordBatch.from_arrays([pa.array(blocks[begins]), pa.array(packed, pa.binary())], names=["block", "pieces"])
+
+
 def _counted(path: str):
-    """Pieces of sorted pre-tokens: equal ones follow one another and are tokenized once."""
+    """Pieces of sorted pre-tokens: equal ones follow one another and are tokenized once. They go back packed, by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pretokens = PreTokens(path)
         last, count = None, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            counts = []
-            for pretoken in batch.column(2).to_pylist():
-                if pretoken != last:
+            counts = np.empty(batch.num_rows, np.int32)
+            for i, pretoken in enumerate(batch.column(2)):
+                if (pretoken := pretoken.as_py()) != last:
                     last, count = pretoken, pretokens.pieces(pretoken)
-                counts.append(count)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32())], names=["block", "place", "pieces"])
+                counts[i] = count
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), counts))
+            if sum(len(x) for x, _, _ in held) >= GATHERED:
+                yield _by_block(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if sum(len(x) for x, _, _ in held):
+            yield _by_block(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
@@ -185,18 +209,21 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum frequency times pieces for each document of a block."""
     for batch in batches:
         for i in range(batch.num_rows):
-            ids, sizes, counted, ends, places, times, pieces = (batch.column(n)[i].values for n in range(7))
-            ends = ends.to_numpy()
-            sums = np.zeros(len(places) + 1, np.int64)
-            by_place = np.zeros(len(pieces), np.int64)
-            if len(pieces):
-                by_place = pieces.field("pieces").to_numpy().astype(np.int64)
+            docs, places, times, parts = (batch.column(n)[i].as_py() for n in range(4))
+            docs = pa.ipc.open_stream(docs).read_next_batch()
+            parts = [_unpacked(part) for part in parts]
+            by_place = np.zeros(sum(map(len, parts)) // 2, np.int64)
+            for part in parts:
+                n = len(part) // 2
+                by_place[np.cumsum(part[:n])] = part[n:]
+            places, times, ends = _unpacked(places), _unpacked(times), docs.column(3).to_numpy()
             begins = np.concatenate([[0], ends[:-1]])
-            upto = np.concatenate([[0], np.cumsum(places.to_numpy().astype(np.int64))])
+            upto = np.concatenate([[0], np.cumsum(places, dtype=np.int64)])
             at = upto[1:] - np.repeat(upto[begins], ends - begins)
-            np.cumsum(by_place[at] * times.to_numpy(), out=sums[1:])
-            n = sums[ends] - sums[begins] + counted.to_numpy()
-            yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
+            sums = np.zeros(len(places) + 1, np.int64)
+            np.cumsum(by_place[at] * times, out=sums[1:])
+            n = sums[ends] - sums[begins] + docs.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,11 +237,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     blocks = stored(rows.mapInArrow(_blocks(path), _BLOCK_SQL), "token-blocks")
     found = blocks.select("block", F.posexplode("pretokens").alias("place", "pretoken"))
-    met = found.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(_counted(path), "block long, place int, pieces int")
-    by_block = met.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "pieces"))).alias("pieces"))
-    empty = F.array().cast("array<struct<place: int, pieces: int>>")
-    joined = blocks.drop("pretokens").join(by_block, "block", "left").withColumn("pieces", F.coalesce("pieces", empty))
-    counted = joined.select("doc_ids", "n_bytes", "counted", "ends", "places", "times", "pieces").mapInArrow(
-        _summed, "doc_id string, n_bytes long, n_tokens long"
-    )
+    met = found.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(_counted(path), "block long, pieces binary")
+    by_block = met.groupBy("block").agg(F.collect_list("pieces").alias("pieces"))
+    joined = blocks.drop("pretokens").join(by_block, "block", "left").withColumn("pieces", F.coalesce("pieces", F.array().cast("array<binary>")))
+    counted = joined.select("docs", "places", "times", "pieces").mapInArrow(_summed, "doc_id string, n_bytes long, n_tokens long")
     return counted.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
